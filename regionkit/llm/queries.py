@@ -3,9 +3,55 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, mix, split, topn
+from . import bpe, lookalike, mix, overlap, pairs, split, titles, topn
+
+
+def _typed_titles(spark: SparkSession, d: str) -> DataFrame:
+    multihop = lookalike.elements(table(spark, d, "multihop_questions"), "multihop", F.col("id"), "gold_titles")
+    passages = lookalike.elements(table(spark, d, "passages"), "passages", F.col("chunk_id"), F.array("title"))
+    return multihop.unionByName(passages)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    known = table(spark, d, "wiki_titles")
+    typed = _typed_titles(spark, d)
+    open_ = typed.join(known.select("title"), typed["value"] == known["title"], "left_anti")
+    return titles.map_to_list(open_, known, "title_id", "title").select("tab", "rec_id", "pos", "title_id").distinct()
+
+
+def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Report of the values that stand for no entry, with how often they occur."""
+    return titles.map_to_list(_typed_titles(spark, d), table(spark, d, "wiki_titles"), "title_id", "title").where("title_id = -1").groupBy("tab", "value").agg(F.count("*").alias("n"))
+
+
+def _elements(spark: SparkSession, d: str) -> DataFrame:
+    multihop = lookalike.elements(table(spark, d, "multihop_questions"), "multihop", F.col("id"), "gold_titles")
+    hotpot = lookalike.elements(table(spark, d, "hotpot_questions"), "hotpot", F.col("rec_no"), "supporting_titles")
+    return multihop.unionByName(hotpot)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.find_lookalikes(_elements(spark, d), table(spark, d, "wiki_titles"), "title").select("tab", "rec_id", "pos")
+
+
+def p3_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The one form of every element."""
+    return lookalike.one_form(_elements(spark, d).distinct(), "value", table(spark, d, "wiki_titles"), "title")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.find_defects(table(spark, d, "generations"), "gen_id", "prompt", "answer")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.cross_split_overlaps(table(spark, d, "hotpot_questions"), "rec_no", "split", "id", "question", table(spark, d, "wiki_titles"), "title")
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(p5_found(spark, d), table(spark, d, "hotpot_questions"), "rec_no", "split", "source")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +87,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_oversized(table(spark, d, "documents"), "doc_id", "text", only_oversized=True)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_ranked, p7_ids, p8_mix, p8_shares, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_ranked, p3_found, p3_forms, p4_found, p5_found, p5_report, p7_ids, p8_mix, p8_shares, p9_found, p9_pieces)}
 
 _BEST = """best AS (SELECT query_id, chunk_id, max(score + 0.0::DOUBLE) AS score FROM scored_chunks
 WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY 1, 2),
