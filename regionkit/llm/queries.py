@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, lookalike, mix, overlap, pairs, split, titles, topn
+from . import ann, bpe, lookalike, mix, overlap, pairs, split, titles, topn
 
 
 def _typed_titles(spark: SparkSession, d: str) -> DataFrame:
@@ -62,6 +62,16 @@ def p2_ranked(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n_per_group(table(spark, d, "scored_chunks"), "query_id", "chunk_id", "score", 5)
 
 
+def _neighbours(spark: SparkSession, d: str) -> DataFrame:
+    e = ann.most_similar(table(spark, d, "passage_vectors"), "chunk_id", "embedding", 64, ann.COSINE, 0.90).withColumn("space", F.lit("embedding"))
+    c = ann.most_similar(table(spark, d, "boxes"), "chunk_id", "center", 16, ann.EUCLID, -0.10).withColumn("space", F.lit("center"))
+    return e.unionByName(c)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _neighbours(spark, d).select("space", F.least("chunk_id", "other").alias("chunk_a"), F.greatest("chunk_id", "other").alias("chunk_b")).distinct()
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
@@ -87,7 +97,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_oversized(table(spark, d, "documents"), "doc_id", "text", only_oversized=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_ranked, p3_found, p3_forms, p4_found, p5_found, p5_report, p7_ids, p8_mix, p8_shares, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_ranked, p3_found, p3_forms, p4_found, p5_found, p5_report, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_pieces)}
 
 _BEST = """best AS (SELECT query_id, chunk_id, max(score + 0.0::DOUBLE) AS score FROM scored_chunks
 WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY 1, 2),
