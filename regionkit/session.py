@@ -51,3 +51,16 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(str(archive))
     _shipped.add(sc.applicationId)
+
+
+def parallelism(spark: SparkSession) -> int:
+    """A partition number that keeps all cores busy in stages whose work is far larger than their bytes."""
+    return max(2 * spark.sparkContext.defaultParallelism, 8)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan dealt over all cores if its files give fewer partitions than there are cores; else df as it is.
+
+    For scans and narrow steps on them only: of other plans, asking for the partitions would run their shuffles.
+    """
+    return df.repartition(parallelism(df.sparkSession)) if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism else df
