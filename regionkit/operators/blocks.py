@@ -18,15 +18,21 @@ BLOCK = 2048
 def block_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = BLOCK) -> DataFrame:
     """Union of run(block of left, block of right) over all pairs of blocks. Rows are dealt to blocks by their keys' hash."""
     n, m = max(1, -(-left.count() // block)), max(1, -(-right.count() // block))
-    a = left.select(F.lit(0).alias("side"), F.pmod(F.xxhash64(left_key), F.lit(n)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).cast("bigint").alias("j"), F.struct(*left.columns).alias("l"))
-    b = right.select(F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint").alias("i"), F.pmod(F.xxhash64(right_key), F.lit(m)).alias("j"), F.struct(*right.columns).alias("r"))
+    upto = lambda k: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")))
+    own = lambda key, k: F.pmod(F.xxhash64(key), F.lit(k)).cast("bigint")
+    a = left.select(F.lit(0).alias("side"), own(left_key, n).alias("i"), upto(m).alias("j"), *[F.col(c).alias(f"l_{c}") for c in left.columns])
+    b = right.select(F.lit(1).alias("side"), upto(n).alias("i"), own(right_key, m).alias("j"), *[F.col(c).alias(f"r_{c}") for c in right.columns])
     both = a.unionByName(b, allowMissingColumns=True)
+    left_cols, right_cols = left.columns, right.columns
+    left_kinds, right_kinds = ([t for _, t in x.dtypes] for x in (left, right))
+
+    def part(pdf: pd.DataFrame, side: int, cols: list[str], kinds: list[str]) -> pd.DataFrame:
+        out = pdf.loc[pdf.side == side, [f"{'lr'[side]}_{c}" for c in cols]].reset_index(drop=True)
+        out.columns = cols
+        whole = {c: "int64" for c, t in zip(cols, kinds) if t in ("int", "bigint")}  # nulls of the other side made them floats
+        return out.astype(whole)
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[pdf.side == 0].l, pdf[pdf.side == 1].r
-        if x.empty or y.empty:
-            return run(pd.DataFrame(columns=left_cols), pd.DataFrame(columns=right_cols))
-        return run(pd.DataFrame(x.tolist(), columns=left_cols), pd.DataFrame(y.tolist(), columns=right_cols))
+        return run(part(pdf, 0, left_cols, left_kinds), part(pdf, 1, right_cols, right_kinds))
 
-    left_cols, right_cols = left.columns, right.columns
     return both.groupBy("i", "j").applyInPandas(group, schema)
