@@ -363,3 +363,258 @@ w AS (SELECT query_id, k, (('0x' || substr(md5(query_id || ':1337'), 1, 8))::BIG
 SELECT query_id, chunk_id, CAST(k + 1 AS INTEGER) AS rank FROM w JOIN pl USING (place)""")
 def sweep_random(spark, d):
     return sweep.random_chunks(_queries(spark, d), _corpus(spark, d))
+
+
+# ---- text and answers ----------------------------------------------------------------------------------------------
+
+_WS = T.SPACE_CLASS + "+"
+_PUNCT = r"""!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~"""
+
+
+def _norm(col: str) -> str:
+    bare = f"translate(lower({col}), '{_PUNCT}', '')"
+    parts = f"string_split(regexp_replace({bare}, '([^\\p{{L}}\\p{{N}}_]+)', chr(1) || '\\1' || chr(1), 'g'), chr(1))"
+    return f"trim(regexp_replace(list_aggregate(list_transform({parts}, lambda p: CASE WHEN p IN ('a', 'an', 'the') THEN ' ' ELSE p END), 'string_agg', ''), '{_WS}', ' ', 'g'))"
+
+
+_SCORED = f"""g AS (SELECT DISTINCT gen_id, id, condition, answer, error FROM generations), m AS (SELECT DISTINCT id, dataset, n_hops, answer AS gold FROM multihop_questions WHERE answer IS NOT NULL),
+n AS (SELECT gen_id, id, condition, dataset, n_hops, error, {_norm('coalesce(g.answer, chr(32))')} AS p, {_norm('gold')} AS o FROM g JOIN m USING (id)),
+t AS (SELECT *, list_filter(string_split(p, ' '), lambda x: x <> '') AS a, list_filter(string_split(o, ' '), lambda x: x <> '') AS b FROM n),
+c AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(a), lambda t: least(len(list_filter(a, lambda x: x = t)), len(list_filter(b, lambda x: x = t))))), 0)::DOUBLE AS shared FROM t),
+scored AS (SELECT gen_id, id, condition, dataset, n_hops, error, CASE WHEN p = o THEN 1.0::DOUBLE ELSE 0.0 END AS em,
+  CASE WHEN p IN ('yes', 'no', 'noanswer') OR o IN ('yes', 'no', 'noanswer') THEN CASE WHEN p = o THEN 1.0::DOUBLE ELSE 0.0 END WHEN len(a) = 0 OR len(b) = 0 THEN CASE WHEN len(a) = len(b) THEN 1.0::DOUBLE ELSE 0.0 END
+  WHEN shared = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * (shared / len(a)) * (shared / len(b)) / (shared / len(a) + shared / len(b)) END AS f1 FROM c)"""
+
+
+def _scored(spark, d) -> DataFrame:
+    g = table(spark, d, "generations").select("gen_id", "id", "condition", "answer", "error").distinct()
+    m = table(spark, d, "multihop_questions").where("answer is not null").select("id", "dataset", "n_hops", F.col("answer").alias("gold")).distinct()
+    both = g.join(m, "id")
+    said = F.coalesce("answer", F.lit(""))
+    return both.select("gen_id", "id", "condition", "dataset", "n_hops", "error", T.exact_match(said, F.col("gold")).alias("em"), T.f1_score(said, F.col("gold")).alias("f1"))
+
+
+@query(f"WITH {_SCORED} SELECT gen_id, id, round(f1, 6) AS f1, em FROM scored")
+def answer_f1(spark, d):
+    return _scored(spark, d).select("gen_id", "id", F.round("f1", 6).alias("f1"), "em")
+
+
+@query(f"WITH {_SCORED} SELECT condition, count(*) AS n, round(avg(f1), 6) AS f1, round(avg(em), 6) AS em, sum(CASE WHEN error IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS errors FROM scored GROUP BY condition")
+def answer_em(spark, d):
+    return _scored(spark, d).groupBy("condition").agg(F.count("*").alias("n"), F.round(F.avg("f1"), 6).alias("f1"), F.round(F.avg("em"), 6).alias("em"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+
+
+@query(f"SELECT DISTINCT chunk_id, trim(regexp_replace(replace(title, '_', ' '), '{_WS}', ' ', 'g')) AS title FROM passages WHERE title IS NOT NULL")
+def title_normalize(spark, d):
+    return table(spark, d, "passages").where("title is not null").select("chunk_id", T.normalize_title(F.col("title")).alias("title")).distinct()
+
+
+@query("SELECT chunk_id, md5(concat_ws(' | ', title, text)) AS digest, length(concat_ws(' | ', title, text)) AS n FROM passages")
+def passage_text(spark, d):
+    p = T.passage_text(F.col("title"), F.col("text"))
+    return table(spark, d, "passages").select("chunk_id", F.md5(p).alias("digest"), F.length(p).cast("bigint").alias("n"))
+
+
+_FETCH = """r AS (SELECT DISTINCT gen_id, retrieved_chunk_ids FROM generations), e AS (SELECT gen_id, unnest(retrieved_chunk_ids) AS chunk_id, generate_subscripts(retrieved_chunk_ids, 1) AS rank FROM r),
+l AS (SELECT gen_id, list('[' || n || '] (' || title || ') ' || text ORDER BY rank) AS lines FROM (SELECT gen_id, rank, row_number() OVER (PARTITION BY gen_id ORDER BY rank, chunk_id) AS n, coalesce(title, '') AS title, coalesce(text, '') AS text FROM e JOIN passages USING (chunk_id)) GROUP BY gen_id)"""
+
+
+@query(f"WITH {_FETCH}, s AS (SELECT DISTINCT gen_id, id FROM generations) SELECT gen_id, md5('Passages:' || chr(10) || coalesce(list_aggregate(lines, 'string_agg', chr(10)), '') || chr(10) || chr(10) || 'Question: ' || coalesce(id, '') || chr(10) || 'Answer:') AS digest FROM s LEFT JOIN l USING (gen_id)")
+def prompt_text(spark, d):
+    g = table(spark, d, "generations")
+    got = g.select(F.col("gen_id").alias("query_id"), "retrieved_chunk_ids").distinct().select("query_id", F.posexplode("retrieved_chunk_ids").alias("rank", "chunk_id"))
+    chunks = runs.fetch_chunks(got, table(spark, d, "passages"))
+    asked = g.select(F.col("gen_id").alias("query_id"), F.col("id").alias("question")).distinct()
+    return runs.with_prompt(asked, chunks).select(F.col("query_id").alias("gen_id"), F.md5("prompt").alias("digest"))
+
+
+# ---- runs ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT id, dataset, coalesce(n_hops, -1) AS n_hops FROM multihop_questions WHERE id NOT IN (SELECT id FROM generations WHERE condition = 'oracle' AND id IS NOT NULL)")
+def resume_todo(spark, d):
+    done = table(spark, d, "generations").where("condition = 'oracle'")
+    return runs.todo(table(spark, d, "multihop_questions"), done, ["id"]).select("id", "dataset", F.coalesce("n_hops", F.lit(-1)).alias("n_hops")).distinct()
+
+
+@query("WITH a AS (SELECT DISTINCT id FROM generations WHERE condition = 'baseline'), b AS (SELECT DISTINCT id FROM generations WHERE condition = 'oracle') SELECT count(*) FILTER (a.id IS NOT NULL AND b.id IS NOT NULL) AS in_both, count(*) FILTER (b.id IS NULL) AS only_first, count(*) FILTER (a.id IS NULL) AS only_second FROM a FULL JOIN b ON a.id = b.id")
+def run_alignment(spark, d):
+    g = table(spark, d, "generations")
+    return runs.alignment(g.where("condition = 'baseline'"), g.where("condition = 'oracle'"), "id")
+
+
+@query("SELECT id, gen_id, condition FROM (SELECT DISTINCT id, gen_id, condition, arrived_at FROM generations) QUALIFY row_number() OVER (PARTITION BY id ORDER BY arrived_at DESC, gen_id DESC) = 1")
+def latest_record(spark, d):
+    g = table(spark, d, "generations").select("id", "gen_id", "condition", "arrived_at")
+    return runs.latest(g, "id", ["arrived_at", "gen_id"]).select("id", "gen_id", "condition")
+
+
+@query("SELECT substr(sha256(string_agg(id, chr(10) ORDER BY id)), 1, 16) AS digest, count(*) AS n FROM (SELECT id FROM (SELECT DISTINCT id FROM multihop_questions) ORDER BY md5(id || ':1337'), id LIMIT 1000)")
+def id_digest(spark, d):
+    return runs.id_digest(runs.sample_ids(table(spark, d, "multihop_questions").select("id").distinct(), "id", 1000), "id")
+
+
+@query("SELECT id, condition, count(DISTINCT gen_id) AS n FROM generations GROUP BY 1, 2 HAVING count(DISTINCT gen_id) > 1")
+def repeated_keys(spark, d):
+    return table(spark, d, "generations").groupBy("id", "condition").agg(F.countDistinct("gen_id").alias("n")).where("n > 1")
+
+
+# ---- audit ---------------------------------------------------------------------------------------------------------
+
+_FACTS = "f AS (SELECT title, count(*) AS n FROM (SELECT unnest(supporting_titles) AS title FROM hotpot_questions) WHERE title IS NOT NULL GROUP BY 1), h AS (SELECT title, count(*) AS k FROM passages WHERE title IS NOT NULL GROUP BY 1), t AS (SELECT title, n, coalesce(k, 0) AS k FROM f LEFT JOIN h USING (title))"
+
+
+def _facts(spark, d) -> DataFrame:
+    return table(spark, d, "hotpot_questions").select(F.explode("supporting_titles").alias("title"))
+
+
+@query(f"WITH {_FACTS} SELECT sum(n)::BIGINT AS n_facts, count(*) AS n_titles, count(*) FILTER (k = 0) AS n_missing_titles, coalesce(sum(n) FILTER (k = 0), 0)::BIGINT AS n_missing_facts, count(*) FILTER (k > 1) AS n_ambiguous_titles FROM t")
+def corpus_audit(spark, d):
+    return audit.corpus_audit(_facts(spark, d), table(spark, d, "passages"))
+
+
+@query(f"WITH {_FACTS} SELECT title, n FROM t WHERE k = 0 ORDER BY n DESC, title LIMIT 20")
+def top_missing(spark, d):
+    return audit.top_missing(_facts(spark, d), table(spark, d, "passages"))
+
+
+@query("""WITH q AS (SELECT DISTINCT dataset, id, gold_titles FROM multihop_questions), h AS (SELECT DISTINCT title FROM passages WHERE title IS NOT NULL),
+e AS (SELECT dataset, id, title, h.title IS NOT NULL AS hit FROM (SELECT dataset, id, unnest(gold_titles) AS title FROM q) LEFT JOIN h USING (title)),
+p AS (SELECT dataset, id, count(title) AS gold, count(*) FILTER (hit AND title IS NOT NULL) AS hits FROM e GROUP BY 1, 2), f AS (SELECT k.dataset, k.id, coalesce(gold, 0) AS gold, coalesce(hits, 0) AS hits FROM (SELECT DISTINCT dataset, id FROM q) k LEFT JOIN p ON k.dataset = p.dataset AND k.id = p.id)
+SELECT dataset, count(*) AS n, round(avg(CASE WHEN hits = gold THEN 1.0 ELSE 0.0 END), 6) AS all_rate, round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END), 6) AS any_rate FROM f GROUP BY dataset""")
+def corpus_coverage(spark, d):
+    q = table(spark, d, "multihop_questions").select("dataset", "id", "gold_titles").distinct()
+    return audit.corpus_coverage(q, table(spark, d, "passages"), "dataset", "id", "gold_titles").select("dataset", "n", F.round("all_rate", 6).alias("all_rate"), F.round("any_rate", 6).alias("any_rate"))
+
+
+@query("SELECT dataset, coalesce(n_hops, -1) AS n_hops, count(*) AS n FROM (SELECT DISTINCT id, dataset, n_hops FROM multihop_questions) GROUP BY 1, 2")
+def hop_distribution(spark, d):
+    return audit.hop_distribution(table(spark, d, "multihop_questions").select("id", "dataset", F.coalesce("n_hops", F.lit(-1)).alias("n_hops")).distinct())
+
+
+@query("SELECT rec_no, array_to_string(list_sort(list_distinct(list_filter(list_transform(supporting_facts, lambda f: f.title), lambda t: t IS NOT NULL))), '|') AS titles FROM hotpot_questions WHERE supporting_facts IS NOT NULL")
+def supporting_titles(spark, d):
+    t = F.sort_array(F.array_distinct(F.filter(F.transform("supporting_facts", lambda f: f["title"]), lambda x: x.isNotNull())))
+    return table(spark, d, "hotpot_questions").where("supporting_facts is not null").select("rec_no", F.array_join(t, "|").alias("titles"))
+
+
+# ---- statistics ----------------------------------------------------------------------------------------------------
+
+_BOOT = """sz AS (SELECT grp, count(*) AS n, avg(x) AS point_estimate FROM v GROUP BY grp), ix AS (SELECT grp, x, row_number() OVER (PARTITION BY grp ORDER BY k, x) - 1 AS idx FROM v),
+dr AS (SELECT grp, n, r, ('0x' || substr(md5(r || ':' || slot || ':1337'), 1, 8))::BIGINT % n AS idx FROM sz, range(20) a(r), LATERAL (SELECT unnest(range(n)) AS slot) b),
+mn AS (SELECT dr.grp, r, sum(x) / any_value(n) AS m FROM dr JOIN ix ON dr.grp = ix.grp AND dr.idx = ix.idx GROUP BY dr.grp, r)
+SELECT sz.grp, round(any_value(point_estimate), 6) AS point_estimate, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM sz JOIN mn ON sz.grp = mn.grp GROUP BY sz.grp"""
+
+
+def _interval(df: DataFrame) -> DataFrame:
+    out = stats.bootstrap_hash(df, ["grp"], "k", "x", n_resamples=20)
+    return out.select("grp", *[F.round(c, 6).alias(c) for c in ("point_estimate", "ci_low", "ci_high")])
+
+
+@query(f"WITH {_SCORED}, v AS (SELECT condition AS grp, gen_id || ':' || id AS k, round(f1, 9) AS x FROM scored), {_BOOT}")
+def bootstrap_mean_ci(spark, d):
+    s = cut_lineage(_scored(spark, d))
+    return _interval(s.select(F.col("condition").alias("grp"), F.concat_ws(":", "gen_id", "id").alias("k"), F.round("f1", 9).alias("x")))
+
+
+_PAIRED = "v AS (SELECT dataset AS grp, id AS k, round(b - a, 9) AS x FROM (SELECT dataset, id, avg(f1) FILTER (condition = 'baseline') AS a, avg(f1) FILTER (condition = 'oracle') AS b FROM scored GROUP BY 1, 2) WHERE a IS NOT NULL AND b IS NOT NULL)"
+
+
+def _paired(spark, d) -> DataFrame:
+    s = _scored(spark, d)
+    by = s.groupBy("dataset", "id").agg(F.avg(F.when(F.col("condition") == "baseline", F.col("f1"))).alias("a"), F.avg(F.when(F.col("condition") == "oracle", F.col("f1"))).alias("b"))
+    return cut_lineage(by.where("a is not null and b is not null").select(F.col("dataset").alias("grp"), F.col("id").alias("k"), F.round(F.col("b") - F.col("a"), 9).alias("x")))
+
+
+@query(f"WITH {_SCORED}, {_PAIRED}, {_BOOT}")
+def bootstrap_paired_ci(spark, d):
+    return _interval(_paired(spark, d))
+
+
+@query(f"WITH {_SCORED} SELECT CASE WHEN grouping(dataset) = 0 THEN 'dataset' WHEN grouping(n_hops) = 0 THEN 'n_hops' ELSE 'all' END AS stratum, coalesce(dataset, n_hops::VARCHAR, '') AS level, count(*) AS n, round(avg(f1), 6) AS mean FROM scored GROUP BY GROUPING SETS ((), (dataset), (n_hops))")
+def strata_summary(spark, d):
+    return stats.strata_summary(_scored(spark, d), ["dataset", "n_hops"], "f1").withColumn("mean", F.round("mean", 6)).withColumn("level", F.coalesce("level", F.lit("")))
+
+
+@query(f"WITH {_SCORED}, cells AS (SELECT condition, count(*) AS n, avg(f1) AS mean, stddev_pop(f1) AS sd, var_pop(f1) AS v FROM scored GROUP BY condition) SELECT condition, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round((SELECT sqrt(avg(v)) FROM cells), 6) AS pooled_sd FROM cells")
+def seed_pooled_sd(spark, d):
+    return stats.pooled_deviation(_scored(spark, d), "condition", "f1").select("condition", "n", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "pooled_sd")])
+
+
+@query(f"""WITH {_SCORED}, {_PAIRED}, l AS (SELECT grp, 100 * avg(x) AS lift FROM v GROUP BY grp), k AS (SELECT dataset, avg(CASE WHEN error IS NULL THEN 1.0 ELSE 0.0 END) AS cov FROM scored GROUP BY dataset),
+s AS (SELECT count(*) AS n_eligible, count(*) FILTER (lift >= 5) AS n_go, count(*) FILTER (lift >= 2) AS n_weak, min(lift) AS worst FROM l JOIN k ON grp = dataset WHERE coalesce(cov, 0) >= 0.7)
+SELECT n_eligible, n_go, n_weak, round(worst, 4) AS worst, CASE WHEN n_go = n_eligible AND n_eligible >= 3 THEN 'GO' WHEN n_weak >= 2 AND worst >= -1 THEN 'WEAK GO' ELSE 'NO-GO' END AS verdict FROM s""")
+def decision_datasets(spark, d):
+    lift = _paired(spark, d).groupBy("grp").agg((100 * F.avg("x")).alias("lift"))
+    cov = _scored(spark, d).groupBy(F.col("dataset").alias("grp")).agg(F.avg(F.col("error").isNull().cast("double")).alias("cov"))
+    return stats.dataset_decision(lift.join(cov, "grp"), "lift", "cov").select("n_eligible", "n_go", "n_weak", F.round("worst", 4).alias("worst"), "verdict")
+
+
+@query(f"""WITH {_SCORED}, {_PAIRED}, s AS (SELECT grp, 100 * avg(x) AS lift, avg(CASE WHEN x >= 0 THEN 1.0 ELSE 0.0 END) AS cov FROM v GROUP BY grp)
+SELECT grp, round(lift, 4) AS lift, CASE WHEN lift >= 2 AND cov >= 0.3 THEN 'GO' WHEN lift >= 1 AND cov >= 0.15 THEN 'WEAK GO' ELSE 'NO-GO' END AS decision FROM s""")
+def decision_answers(spark, d):
+    s = _paired(spark, d).groupBy("grp").agg((100 * F.avg("x")).alias("lift"), F.avg((F.col("x") >= 0).cast("double")).alias("cov"))
+    return s.select("grp", F.round("lift", 4).alias("lift"), stats.answer_decision(F.col("lift"), F.col("cov")).alias("decision"))
+
+
+@query(f"WITH {_SCORED}, p AS (SELECT condition, count(*) AS n, avg(f1) AS f1, avg(em) AS em FROM scored GROUP BY condition) SELECT condition, n, round(f1, 6) AS f1, round(em, 6) AS em, round((SELECT max(f1) FILTER (condition = 'oracle') - max(f1) FILTER (condition = 'baseline') FROM p), 6) AS drop FROM p")
+def sweep_summary(spark, d):
+    s = _scored(spark, d).withColumn("condition", F.when(F.col("condition") == "baseline", "gold_removed").otherwise(F.col("condition"))).withColumn("pair_in_context", F.lit(True)).withColumn("n_chunks", F.lit(0))
+    out = sweep.summary(s).withColumn("condition", F.when(F.col("condition") == "gold_removed", "baseline").otherwise(F.col("condition")))
+    return out.select("condition", "n", F.round("f1", 6).alias("f1"), F.round("em", 6).alias("em"), F.round("drop", 6).alias("drop"))
+
+
+@query("SELECT event_type, count(*) AS n, round(min(value), 6) AS min, round(quantile_cont(value::DOUBLE, 0.1), 6) AS p10, round(quantile_cont(value::DOUBLE, 0.5), 6) AS p50, round(quantile_cont(value::DOUBLE, 0.9), 6) AS p90, round(max(value), 6) AS max, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+def percentiles(spark, d):
+    p = lambda q: F.round(F.percentile("value", q), 6)
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.min("value"), 6).alias("min"), p(0.1).alias("p10"), p(0.5).alias("p50"), p(0.9).alias("p90"), F.round(F.max("value"), 6).alias("max"), F.countDistinct("user_id").alias("users"))
+
+
+# ---- synthetic world -----------------------------------------------------------------------------------------------
+# The relation is drawn by md5, so that SQL can draw it, too: entities are 0 to 95, properties 0 to 11.
+
+_WORLD = """att AS (SELECT e::INTEGER AS entity, k::INTEGER AS prop FROM range(96) a(e), range(12) b(k) WHERE ('0x' || substr(md5(e || ':' || k || ':7'), 1, 8))::BIGINT % 100 < 35),
+qs AS (SELECT i::INTEGER AS i, j::INTEGER AS j FROM range(96) a(i), range(96) b(j) WHERE i <> j),
+two AS (SELECT i, j, x.prop FROM qs JOIN att x ON x.entity = (i + 17) % 96 JOIN att y ON y.entity = j AND y.prop = x.prop)"""
+
+
+def _world(spark) -> tuple[DataFrame, DataFrame, DataFrame]:
+    r = lambda n, c: spark.range(n).select(F.col("id").cast("int").alias(c))
+    attrs = r(96, "entity").crossJoin(F.broadcast(r(12, "prop"))).where(F.expr("cast(conv(substr(md5(concat(entity, ':', prop, ':7')), 1, 8), 16, 10) as bigint) % 100 < 35"))
+    partner = r(96, "entity").withColumn("other", ((F.col("entity") + 17) % 96).cast("int"))
+    queries = r(96, "i").crossJoin(F.broadcast(r(96, "j"))).where("i <> j")
+    return attrs, partner, queries
+
+
+@query(f"WITH {_WORLD} SELECT i, j, prop FROM two")
+def two_hop_answer(spark, d):
+    from .operators import world
+
+    attrs, partner, queries = _world(spark)
+    return world.two_hop_answers(queries, partner, attrs)
+
+
+_F1G = f"""WITH {_WORLD}, pr AS (SELECT i, j, k::INTEGER AS prop, ('0x' || substr(md5(i || ':' || j || ':' || k), 1, 8))::BIGINT % 1000 AS p FROM qs, range(12) b(k)), sz AS (SELECT i, j, count(*) AS g FROM two GROUP BY 1, 2),
+rk AS (SELECT pr.*, g, row_number() OVER (PARTITION BY pr.i, pr.j ORDER BY p DESC, prop) AS r FROM pr JOIN sz ON pr.i = sz.i AND pr.j = sz.j),
+hit AS (SELECT rk.i, rk.j, g, count(two.prop) / g AS f1 FROM rk LEFT JOIN two ON rk.i = two.i AND rk.j = two.j AND rk.prop = two.prop WHERE r <= g GROUP BY rk.i, rk.j, g)"""
+
+
+def _probed(spark) -> DataFrame:
+    from .operators import world
+
+    attrs, partner, queries = _world(spark)
+    probs = queries.crossJoin(F.broadcast(spark.range(12).select(F.col("id").cast("int").alias("prop")))).withColumn("p", F.expr("cast(conv(substr(md5(concat(i, ':', j, ':', prop)), 1, 8), 16, 10) as bigint) % 1000"))
+    return world.f1_at_g(world.two_hop_answers(queries, partner, attrs), probs)
+
+
+@query(f"{_F1G} SELECT i, j, g, round(f1, 6) AS f1 FROM hit")
+def f1_at_g(spark, d):
+    return _probed(spark).select("i", "j", "g", F.round("f1", 6).alias("f1"))
+
+
+@query(f"{_F1G}, o AS (SELECT count(*) AS n, avg(f1) AS f FROM hit WHERE i < 24), s AS (SELECT count(*) AS n, avg(f1) AS f FROM hit WHERE i >= 24) SELECT o.n AS n_ood, round(o.f, 6) AS f1_ood, s.n AS n_seen, round(s.f, 6) AS f1_seen, round(o.f - s.f, 6) AS gap FROM o, s")
+def probe_report(spark, d):
+    from .operators import world
+
+    f = _probed(spark)
+    return world.probe_report(f.where("i < 24"), f.where("i >= 24")).select("n_ood", F.round("f1_ood", 6).alias("f1_ood"), "n_seen", F.round("f1_seen", 6).alias("f1_seen"), F.round("gap", 6).alias("gap"))
