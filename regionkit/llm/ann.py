@@ -38,23 +38,29 @@ def learned_rotations(x: np.ndarray, count: int, seed: int = 5, rounds: int = 15
 
 
 class Codes:
-    """Everything that turns vectors into substrings: mean, rotations, thresholds, number and length of the substrings."""
+    """Everything that turns vectors into codes: mean, rotations, thresholds, number and length of the substrings.
 
-    def __init__(self, sample: np.ndarray, n: int, metric: str, near: float, recall: float = 0.995):
+    The length is the one at which a row costs least: m (1 + length / 2) lookups and its expected chance meetings, with
+    the least m at which a vector and another at the design similarity meet with probability `recall`; both are
+    measured on the sample. The whole code, by which chance meetings are told apart, has at least 128 bits.
+    """
+
+    def __init__(self, sample: np.ndarray, n: int, metric: str, near: float, recall: float = 0.995, most: int = 16, longest: int = 46):
         x = sample / np.linalg.norm(sample, axis=1, keepdims=True) if metric == COSINE else sample
         d = x.shape[1]
         self.metric = metric
         self.mean = x.mean(axis=0)
         x = x - self.mean
-        self.bits = int(min(30, max(8, round(math.log2(max(n, 2))))))
-        most = 16
-        turn = learned_rotations(x, -(-most * self.bits // d))[:, : most * self.bits]
-        turn = turn[:, np.random.default_rng(9).permutation(turn.shape[1])] if turn.shape[1] > d else turn
+        width = most * longest
+        turn = learned_rotations(x, -(-width // d))[:, :width]
+        turn = turn[:, np.random.default_rng(9).permutation(turn.shape[1])]
         y = x @ turn
-        cut = np.median(y, axis=0)
-        # how often a bit flips between a vector and another at the distance `near`, measured on the sample
-        rng = np.random.default_rng(3)
-        step = rng.standard_normal(x.shape)
+        # the middle for directions; for places, cuts spread over the range, as cuts through the middle alone leave cones
+        share = np.full(y.shape[1], 0.5) if metric == COSINE else np.random.default_rng(11).uniform(0.1, 0.9, y.shape[1])
+        cut = np.array([np.quantile(c, q) for c, q in zip(y.T, share)])
+        on = y > cut
+        # how often a bit flips between a vector and another at the similarity `near`, measured on the sample
+        step = np.random.default_rng(3).standard_normal(x.shape)
         if metric == COSINE:
             base = x + self.mean
             step -= (step * base).sum(1, keepdims=True) * base
@@ -62,19 +68,18 @@ class Codes:
             moved = near * base + math.sqrt(1 - near * near) * step - self.mean
         else:
             moved = x + near * step / np.linalg.norm(step, axis=1, keepdims=True)
-        flips = ((moved @ turn) > cut) != (y > cut)
-        hit = 0.0
-        self.m = most
-        parts = flips.reshape(len(x), most, self.bits).sum(2) <= 1
-        for m in range(1, most + 1):
-            hit = parts[:, :m].any(axis=1).mean()
-            if hit >= recall and m > 1:
-                self.m = m
-                break
-        width = self.m * self.bits
+        flips = ((moved @ turn) > cut) != on
+        some = (on[:1500] * 2 - 1).astype(np.float32)
+        best = (math.inf, 2, longest)
+        for bits in range(min(longest, max(8, round(math.log2(max(n, 2))))), longest + 1, 2):
+            hit = flips[:, : most * bits].reshape(len(x), most, bits).sum(2) <= 1
+            m = next((m for m in range(2, most + 1) if hit[:, :m].any(axis=1).mean() >= recall), most)
+            chance = np.mean([((bits - some[:, i * bits : (i + 1) * bits] @ some[:, i * bits : (i + 1) * bits].T) / 2 <= 1).mean() - 1 / len(some) for i in range(2)])
+            best = min(best, (m * (1 + bits / 2 + max(0.0, chance) * n / 2), m, bits))
+        _, self.m, self.bits = best
+        width = max(128, self.m * self.bits)
         self.turn, self.cut = turn[:, :width], cut[:width]
-        own = flips[:, :width].sum(1)
-        self.radius = int(min(width, max(2 * self.m - 1, math.ceil(np.quantile(own, 0.9995)) + 1)))
+        self.radius = int(max(2 * self.m - 1, math.ceil(np.quantile(flips[:, :width].sum(1), 0.9995)) + 1))
         self.words = -(-width // 62)
 
     def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +87,7 @@ class Codes:
         if self.metric == COSINE:
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
         on = ((x - self.mean) @ self.turn) > self.cut
-        subs = on.reshape(len(x), self.m, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
+        subs = on[:, : self.m * self.bits].reshape(len(x), self.m, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
         pad = np.zeros((len(x), self.words * 62), dtype=bool)
         pad[:, : on.shape[1]] = on
         return subs, pad.reshape(len(x), self.words, 62) @ (1 << np.arange(62, dtype=np.int64))
@@ -153,7 +158,7 @@ def candidate_pairs(classes: DataFrame, codes: Codes, metric: str, k: int, least
 
     w = [f"w{i}" for i in range(words)]
     coded = cut_lineage(classes.select("cls", "v").mapInArrow(code, "cls bigint, subs array<bigint>, " + ", ".join(f"{x} bigint" for x in w)))
-    placed = coded.select("cls", *w, F.posexplode("subs").alias("t", "sub")).withColumn("key", F.shiftleft(F.col("t").cast("bigint"), 40).bitwiseOR(F.col("sub")))
+    placed = coded.select("cls", *w, F.posexplode("subs").alias("t", "sub")).withColumn("key", F.shiftleft(F.col("t").cast("bigint"), 48).bitwiseOR(F.col("sub")))
     ones = F.array(*[F.lit(1 << i).cast("bigint") for i in range(bits)])
     probes = F.concat(F.array(F.lit(0).cast("bigint")), F.filter(ones, lambda o: F.col("key").bitwiseAND(o) == 0))
     probe = placed.select("cls", *w, F.col("key").alias("own"), F.explode(probes).alias("bit")).withColumn("key", F.col("own").bitwiseOR(F.col("bit"))).drop("own")
@@ -207,7 +212,8 @@ def most_similar(df: DataFrame, id_col: str, vec_col: str, dim: int, metric: str
     if n == 1:
         near = inner
     else:
-        sample = classes.orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).select("v").toPandas().v
+        part = F.pmod(F.xxhash64("cls"), F.lit(1_000_000)) < min(1_000_000, int(2e6 * SAMPLE / n) + 1)  # about twice the sample
+        sample = classes.where(part).orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).select("v").toPandas().v
         codes = Codes(np.stack(sample.to_numpy()).astype(float), n, metric, (design if design is not None else (0.6 + 0.4 * least if metric == COSINE else least)) * (1 if metric == COSINE else -1))
         met = candidate_pairs(classes, codes, metric, k, least)
         a, b = classes.select(F.col("cls").alias("a"), F.col("v").alias("va"), F.col("n").alias("na")), classes.select(F.col("cls").alias("b"), F.col("v").alias("vb"), F.col("n").alias("nb"))
