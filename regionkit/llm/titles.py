@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import parallelism
 from .lookalike import Model
 
 #: Usual short forms of words in names, and words beside a name that don't change what it names.
@@ -262,4 +263,5 @@ def map_to_list(values: DataFrame, entries: DataFrame, id_col: str, name_col: st
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int32())], names=[*keep, "title_id"])
 
     kinds = dict(values.dtypes)
-    return values.select(*keep).distinct().mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", title_id int")
+    dealt = values.select(*keep).repartition(parallelism(values.sparkSession), *keep).dropDuplicates()  # one shuffle for both
+    return dealt.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", title_id int")
