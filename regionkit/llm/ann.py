@@ -55,10 +55,6 @@ class Codes:
         turn = learned_rotations(x, -(-width // d))[:, :width]
         turn = turn[:, np.random.default_rng(9).permutation(turn.shape[1])]
         y = x @ turn
-        # the middle for directions; for places, cuts spread over the range, as cuts through the middle alone leave cones
-        share = np.full(y.shape[1], 0.5) if metric == COSINE else np.random.default_rng(11).uniform(0.1, 0.9, y.shape[1])
-        cut = np.array([np.quantile(c, q) for c, q in zip(y.T, share)])
-        on = y > cut
         # how often a bit flips between a vector and another at the similarity `near`, measured on the sample
         step = np.random.default_rng(3).standard_normal(x.shape)
         if metric == COSINE:
@@ -68,7 +64,18 @@ class Codes:
             moved = near * base + math.sqrt(1 - near * near) * step - self.mean
         else:
             moved = x + near * step / np.linalg.norm(step, axis=1, keepdims=True)
-        flips = ((moved @ turn) > cut) != on
+        z = moved @ turn
+        # the middle for directions; for places, cuts spread over the range, as cuts through the middle alone leave cones.
+        # A cut moves aside if it would go through a crowd, whose members would fall on either side of it by chance.
+        share = np.full(y.shape[1], 0.5) if metric == COSINE else np.random.default_rng(11).uniform(0.1, 0.9, y.shape[1])
+        cut = np.array([np.quantile(c, q) for c, q in zip(y.T, share)])
+        split = ((y > cut) != (z > cut)).mean(axis=0)
+        for i in np.flatnonzero(split > 2 * np.median(split)):
+            at = np.linspace(0.1, 0.9, 17)
+            c = np.quantile(y[:, i], at)
+            cut[i] = c[np.argmin(((y[:, i, None] > c) != (z[:, i, None] > c)).mean(axis=0) + 0.05 * np.abs(at - share[i]))]
+        on = y > cut
+        flips = (z > cut) != on
         some = (on[:1500] * 2 - 1).astype(np.float32)
         best = (math.inf, 2, longest)
         for bits in range(min(longest, max(8, round(math.log2(max(n, 2))))), longest + 1, 2):
@@ -163,11 +170,14 @@ def candidate_pairs(classes: DataFrame, codes: Codes, metric: str, k: int, least
     probes = F.concat(F.array(F.lit(0).cast("bigint")), F.filter(ones, lambda o: F.col("key").bitwiseAND(o) == 0))
     probe = placed.select("cls", *w, F.col("key").alias("own"), F.explode(probes).alias("bit")).withColumn("key", F.col("own").bitwiseOR(F.col("bit"))).drop("own")
 
-    # number of pairs a bucket would give, from its own rows and those of the buckets one bit below it
+    # a bucket is crowded by its own rows times those of the buckets one bit below it; small buckets alone can't be
     own = placed.groupBy("key").agg(F.count("*").alias("n"))
-    near = own.select(F.col("n"), F.col("key").alias("own"), F.explode(probes).alias("bit")).groupBy(F.col("own").bitwiseOR(F.col("bit")).alias("key")).agg(F.sum("n").alias("p"))
-    hot = cut_lineage(own.where(F.col("n") > 64).join(near, "key").where(F.col("n") * F.col("p") > crowded))
-    any_hot = hot.limit(1).count() > 0
+    largest = own.agg(F.max("n")).first()[0]
+    any_hot = largest * largest * (bits + 1) > crowded
+    if any_hot:
+        near = own.select("n", F.col("key").alias("own"), F.explode(probes).alias("bit")).groupBy(F.col("own").bitwiseOR(F.col("bit")).alias("key")).agg(F.sum("n").alias("p"))
+        hot = cut_lineage(own.join(near, "key").where(F.col("n") * F.col("p") > crowded))
+        any_hot = hot.limit(1).count() > 0
 
     left, right = placed.select("key", F.col("cls").alias("ca"), *[F.col(x).alias(f"l{x}") for x in w]), probe.select("key", F.col("cls").alias("cb"), "bit", *[F.col(x).alias(f"r{x}") for x in w])
     if any_hot:
