@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage, spread
+
 #: Frequent function words by language.
 FUNCTION_WORDS = {
     "en": "the a an of to in and or was is are were by for with from at as on that which who it its this but not only had has have did does be been he she they them their there when since before after because therefore answer never both while later first says no yes",
@@ -203,7 +205,7 @@ def find_defects(df: DataFrame, id_col: str, prompt_col: str, answer_col: str, l
     id. The counts cover all rows; they are summed in the tasks before the shuffle, and the join with them is
     salted, since a few endings are shared by many rows.
     """
-    src = df.select(df[id_col].alias("id"), df[prompt_col].alias("prompt"), df[answer_col].alias("answer"))
+    src = spread(df.select(df[id_col].alias("id"), df[prompt_col].alias("prompt"), df[answer_col].alias("answer")))
 
     def count(batches):
         for batch in batches:
@@ -229,7 +231,7 @@ def find_defects(df: DataFrame, id_col: str, prompt_col: str, answer_col: str, l
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d for d, _ in rows], pa.string()), pa.array([k for _, k in rows], pa.list_(pa.string())), pa.array(other, pa.bool_())], names=["id", "defect", "keys", "other"])
 
     seen = src.mapInArrow(look, f"id {dict(df.dtypes)[id_col]}, defect string, keys array<string>, other boolean")
-    seen = seen.where("defect <> '' or size(keys) > 0 or other").distinct()
+    seen = cut_lineage(seen.where("defect <> '' or size(keys) > 0 or other").distinct())
     sure = seen.where("size(keys) = 0").select("id", F.when(F.col("defect") == "", "other_language").otherwise(F.col("defect")).alias("defect"))
     salts = 8
     salted = stats.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
