@@ -51,6 +51,8 @@ class Codes:
         self.metric = metric
         self.mean = x.mean(axis=0)
         x = x - self.mean
+        if few := len(x) < 1000:
+            x = np.tile(x, (-(-1000 // len(x)), 1))  # each row is moved in several directions
         width = most * longest
         turn = learned_rotations(x, -(-width // d))[:, :width]
         turn = turn[:, np.random.default_rng(9).permutation(turn.shape[1])]
@@ -70,7 +72,7 @@ class Codes:
         share = np.full(y.shape[1], 0.5) if metric == COSINE else np.random.default_rng(11).uniform(0.1, 0.9, y.shape[1])
         cut = np.array([np.quantile(c, q) for c, q in zip(y.T, share)])
         split = ((y > cut) != (z > cut)).mean(axis=0)
-        for i in np.flatnonzero(split > 2 * np.median(split)):
+        for i in np.flatnonzero((split > 2 * np.median(split)) | few):
             at = np.linspace(0.1, 0.9, 17)
             c = np.quantile(y[:, i], at)
             cut[i] = c[np.argmin(((y[:, i, None] > c) != (z[:, i, None] > c)).mean(axis=0) + 0.05 * np.abs(at - share[i]))]

@@ -153,10 +153,10 @@ def contexts(text: str) -> list[list[str]]:
 
 
 def end_keys(text: str) -> list[str]:
-    """Contexts of the last token, from the longest; in longer texts also the token alone, and what is before it."""
+    """The longest context of the last token; in longer texts also the shorter ones, and the one of the token before it."""
     c = contexts(text)
     if len(c) <= 5:
-        return [k for k in c[-1] if " " in k]
+        return c[-1][:1]
     return [k for k in c[-1] if k not in ("N", "9")] + c[-2][:1]
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import parallelism
-from .lookalike import Model
+from .lookalike import Model, kept
 
 #: Usual short forms of words in names, and words beside a name that don't change what it names.
 SHORT = {"univ": "university", "co": "company", "st": "saint", "mt": "mount", "ft": "fort", "№": "no", "nr": "no", "&": "and", "+": "and"}
@@ -228,18 +228,6 @@ class Matcher:
         return -1
 
 
-_made: dict[int, Matcher] = {}
-
-
-def _matcher(fit: list[tuple[int, str]]) -> Matcher:
-    """One per Python worker and list, kept between its tasks."""
-    key = hash(tuple(fit))
-    if key not in _made:
-        _made.clear()
-        _made[key] = Matcher(fit)
-    return _made[key]
-
-
 def map_to_list(values: DataFrame, entries: DataFrame, id_col: str, name_col: str, max_entries: int = 200_000) -> DataFrame:
     """values (with a column `value`) and `title_id`, the entry each value stands for, or -1; duplicates removed first.
 
@@ -257,7 +245,7 @@ def map_to_list(values: DataFrame, entries: DataFrame, id_col: str, name_col: st
     at = keep.index("value")
 
     def run(batches):
-        matcher = _matcher(fit)
+        matcher = kept(Matcher, fit)
         for batch in batches:
             ids = [-1 if v is None or not v.strip() else matcher.find(v) for v in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int32())], names=[*keep, "title_id"])
