@@ -26,6 +26,7 @@ from .lookalike import Model, kept
 SHORT = {"univ": "university", "co": "company", "st": "saint", "mt": "mount", "ft": "fort", "№": "no", "nr": "no", "&": "and", "+": "and"}
 FILLER = {"the", "a", "an", "ed", "page", "article", "wiki", "see", "also", "title", "entry"}
 NOTE = re.compile(r"\s*\[(?:\d+|ed\.?|sic|note|citation needed)\]", re.I)
+BRACKET = re.compile(r"(.*\S)\s*\([^()]+\)$")
 ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}")
 WORD = re.compile(r"№|²|\d+|[^\W\d_]+(?:['’][^\W\d_]+)*", re.U)
 
@@ -53,7 +54,7 @@ def distance(a: str, b: str, most: int) -> int:
 
 def slips(word: str) -> int:
     """How many slips a word of this length may have."""
-    return 0 if len(word) < 3 or word.isdigit() else 1 if len(word) < 6 else 2
+    return 0 if len(word) < 3 or word.isdigit() else 1 if len(word) < 6 else 2 if len(word) < 8 else 3
 
 
 def shorter(word: str, by: int = 1) -> set[str]:
@@ -83,6 +84,8 @@ class Matcher:
             forms = {(*w[1:], w[0]), (w[-1], *w[:-1])} if len(w) > 1 else set()
             if w[0] == "the":
                 forms |= {w[1:], (*w[1:], "the")}
+            if bare := BRACKET.match(t):
+                forms.add(self.tokens(bare[1]))  # stands for the entry if it is the only one of that name
             for f in forms:
                 if f:
                     alias[" ".join(f)].add(i)
@@ -108,7 +111,7 @@ class Matcher:
         for i, w in self.words.items():
             for x in w:
                 if counts[x] < 50 and slips(x):
-                    for y in shorter(x, slips(x)):
+                    for y in shorter(x, min(2, slips(x))):
                         self.rare[y].add(i)
 
     def tokens(self, text: str) -> tuple[str, ...]:
@@ -172,13 +175,13 @@ class Matcher:
         return total
 
     def similar(self, words: tuple[str, ...]) -> int:
-        """The one entry with the same token set up to two slips in all; -1 if there is none or several are as near."""
+        """The one entry with the same token set up to three slips in all, two of them in words under eight letters; -1 if there is none or several are as near."""
         joined = "".join(words)
         numbers = re.findall(r"\d+", joined)
         ids: set[int] = set()
         for x in words:
             if slips(x):
-                for k in shorter(x, slips(x)):
+                for k in shorter(x, min(2, slips(x))):
                     ids |= self.rare.get(k, set())
         near: dict[int, float] = {i: self.apart(words, self.words[i]) for i in ids}
         for k in shorter(joined):
@@ -187,7 +190,7 @@ class Matcher:
                 forms = {"".join(w), "".join((*w[1:], w[0])), "".join((w[-1], *w[:-1])), "".join(w[w[0] == "the" :])}
                 if min(distance(joined, f, 1) for f in forms) <= 1 and sorted(numbers) == sorted(re.findall(r"\d+", "".join(w))):
                     near[i] = min(near.get(i, math.inf), 1.0)
-        near = {i: d for i, d in near.items() if d <= 2}
+        near = {i: d for i, d in near.items() if d <= 3}
         if not near:
             return -1
         best = min(near.values())
@@ -223,8 +226,9 @@ class Matcher:
                 ids, left = self.mentions(full)
                 if len(ids) == 1 and not left and -1 not in ids:
                     return ids.pop()
-            if (out := self.similar(full)) >= 0:
-                return out
+            for x in dict.fromkeys((w, full)):
+                if (out := self.similar(x)) >= 0:
+                    return out
         return -1
 
 

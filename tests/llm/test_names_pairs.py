@@ -35,7 +35,7 @@ def test_mapping(spark, names):
     cases = {
         "lake gikoum": 1, "Lake_Gikoum": 1, "Lake%20Gikoum": 1, "the Lake Gikoum": 1, "Lake Gikoum[2]": 1, "* Lake Gikoum": 1, "“Lake Gikoum”": 1, "Gikoum, Lake": 1, "LakeGikoum": 1, "Lake Gikuom": 1, "Lаke Gikоum": 1, "LAKE GIKOUM.": 1,
         "St. Wempra's Orchestra": 2, "Saint Wempras Orchestra": 2, "1985 Tunwujse Cup": 3, "1887+Tunwujes+Cup": 4, "1886 Tunwujes Cup": -1, "НОВКОРПОЛ": 5, "Kuva² - album": 6, "film Kuva": 7, "Kuva [film]": 7, "Silent Comet of Sélt": 8, "Thinfase No. 6": 9,
-        "Gokbomaer–Mirror Line": 11, "Beintak & Lantern Co.": 12, "Lake Dranhinund": -1, "Gikoum Harbour": -1, "unknown": -1, "???": -1, "": -1, None: -1, "y" * 20_000: -1,
+        "Gokbomaer–Mirror Line": 11, "Beintak & Lantern Co.": 12, "Lake Dranhinund": -1, "Gikoum Harbour": -1, "Kuva": 7, "kuva²": 6, "Kuva (novel)": -1, "unknown": -1, "???": -1, "": -1, None: -1, "y" * 20_000: -1,
     }
     df = values(spark, [*cases, *cases])
     got = {r.value: r.title_id for r in titles.map_to_list(df, names, "title_id", "title").collect()}
