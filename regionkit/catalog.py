@@ -195,8 +195,7 @@ def tau_v(spark, d):
 @query(f"{_TO_PAIRS}, {_TAU} SELECT query_id, count(*) AS n_kept, round(max(log_volume), 5) AS best FROM pairs, tau WHERE log_volume >= tau GROUP BY query_id")
 def pair_volume_threshold(spark, d):
     pairs = _pairs(spark, d)
-    kept = pairs.crossJoin(F.broadcast(calibrate.tau_of(pairs).select("tau"))).where("log_volume >= tau")  # one row
-    return kept.groupBy("query_id").agg(F.count("*").alias("n_kept"), F.round(F.max("log_volume"), 5).alias("best"))
+    return pairs.where(F.col("log_volume") >= calibrate.tau_of(pairs).first().tau).groupBy("query_id").agg(F.count("*").alias("n_kept"), F.round(F.max("log_volume"), 5).alias("best"))
 
 
 def _lensed(spark, d) -> dict[str, DataFrame]:
@@ -580,9 +579,10 @@ two AS (SELECT i, j, x.prop FROM qs JOIN att x ON x.entity = (i + 17) % 96 JOIN
 
 def _world(spark) -> tuple[DataFrame, DataFrame, DataFrame]:
     r = lambda n, c: spark.range(n).select(F.col("id").cast("int").alias(c))
-    attrs = r(96, "entity").crossJoin(F.broadcast(r(12, "prop"))).where(F.expr("cast(conv(substr(md5(concat(entity, ':', prop, ':7')), 1, 8), 16, 10) as bigint) % 100 < 35"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    attrs = r(96, "entity").withColumn("prop", upto(12)).where(F.expr("cast(conv(substr(md5(concat(entity, ':', prop, ':7')), 1, 8), 16, 10) as bigint) % 100 < 35"))
     partner = r(96, "entity").withColumn("other", ((F.col("entity") + 17) % 96).cast("int"))
-    queries = r(96, "i").crossJoin(F.broadcast(r(96, "j"))).where("i <> j")
+    queries = r(96, "i").withColumn("j", upto(96)).where("i <> j")
     return attrs, partner, queries
 
 
@@ -603,7 +603,7 @@ def _probed(spark) -> DataFrame:
     from .operators import world
 
     attrs, partner, queries = _world(spark)
-    probs = queries.crossJoin(F.broadcast(spark.range(12).select(F.col("id").cast("int").alias("prop")))).withColumn("p", F.expr("cast(conv(substr(md5(concat(i, ':', j, ':', prop)), 1, 8), 16, 10) as bigint) % 1000"))
+    probs = queries.withColumn("prop", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("p", F.expr("cast(conv(substr(md5(concat(i, ':', j, ':', prop)), 1, 8), 16, 10) as bigint) % 1000"))
     return world.f1_at_g(world.two_hop_answers(queries, partner, attrs), probs)
 
 

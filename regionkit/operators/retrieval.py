@@ -112,8 +112,9 @@ def lens_candidates(pairs: DataFrame, queries: DataFrame, m: int, tau: DataFrame
     tau, a number or a one-row frame with the column tau, drops pairs with a smaller log-volume; equality stays.
     """
     if isinstance(tau, DataFrame):
-        pairs = pairs.crossJoin(F.broadcast(tau.limit(1))).where(F.col("log_volume") >= F.col("tau")).drop("tau")  # one row
-    elif tau is not None:
+        row = tau.first()
+        tau = row.tau if row else None
+    if tau is not None:
         pairs = pairs.where(F.col("log_volume") >= tau)
     min_, max_ = B.around(F.col("lo"), F.col("hi"), F.col("sides"))
     boxed = pairs.withColumn("min", min_).withColumn("max", max_).withColumn("mid", B.middle(F.col("min"), F.col("max")))

@@ -55,8 +55,8 @@ def strata_summary(df: DataFrame, strata: list[str], value: str) -> DataFrame:
 def pooled_deviation(df: DataFrame, cell: str, value: str) -> DataFrame:
     """cell, n, mean, sd (population), and the pooled deviation of all cells: root of the mean of their variances."""
     cells = df.groupBy(cell).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.var_pop(value).alias("var"))
-    pooled = cells.agg(F.sqrt(F.avg("var")).alias("pooled_sd"))
-    return cells.drop("var").crossJoin(F.broadcast(pooled))  # one row
+    every = Window.partitionBy(F.lit(0))  # a row for each cell
+    return cells.withColumn("pooled_sd", F.sqrt(F.avg("var").over(every))).drop("var")
 
 
 def answer_decision(lift: Column, coverage: Column, go: tuple[float, float] = (2.0, 0.30), weak: tuple[float, float] = (1.0, 0.15)) -> Column:
