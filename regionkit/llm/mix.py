@@ -9,6 +9,8 @@ from ..session import cut_lineage
 from .bpe import count_tokens
 
 BUCKETS = 1024
+#: Targets up to which they, and their buckets' sums (BUCKETS rows each), are broadcast; beyond, joins are shuffled.
+MAX_BROADCAST = 200
 
 
 def text_quality(text: str, length: str = "n") -> F.Column:
@@ -47,23 +49,25 @@ def mix_sources(sized: DataFrame, targets: DataFrame, total_tokens: int | None =
     t = targets.groupBy("source").agg(F.min_by(F.struct(F.coalesce("weight", F.lit(0.0)).alias("w"), F.coalesce("max_repeats", F.lit(0)).alias("r")), F.struct("weight", "max_repeats")).alias("x"))
     t = t.where("source is not null").select("source", F.greatest("x.w", F.lit(0.0)).alias("weight"), F.greatest("x.r", F.lit(0)).alias("max_repeats"))
     sums = sized.withColumn("b", F.least(F.floor((1 - F.col("u")) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")).groupBy("source", "b").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"))
-    sums = sums.join(F.broadcast(t), "source")
+    few = targets.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    small = F.broadcast if few else lambda df: df
+    sums = sums.join(small(t), "source")
     have = sums.groupBy("source").agg(F.sum("t").alias("held"), F.sum("n").alias("n_docs"))
     plan = t.join(have, "source", "left").withColumn("held", F.coalesce("held", F.lit(0)))
     live = (F.col("held") > 0) & (F.col("weight") > 0) & (F.col("max_repeats") > 0)
-    whole = plan.where(live).agg(F.sum("weight").alias("all_w"), F.min(F.col("held") * F.col("max_repeats") / F.col("weight")).alias("per"))
-    total = F.col("per") * F.col("all_w")
-    total = total if total_tokens is None else F.least(total, F.lit(float(total_tokens)))
-    plan = plan.crossJoin(F.broadcast(whole)).withColumn("budget", F.when(live, F.floor(F.least(total * F.col("weight") / F.col("all_w"), F.col("held") * F.col("max_repeats")) + F.lit(1e-6))).otherwise(F.lit(0)).cast("bigint"))
+    whole = plan.where(live).agg(F.sum("weight").alias("all_w"), F.min(F.col("held") * F.col("max_repeats") / F.col("weight")).alias("per")).first()
+    all_w, total = whole.all_w or 1.0, (whole.per or 0.0) * (whole.all_w or 0.0)
+    total = F.lit(float(total if total_tokens is None else min(total, total_tokens)))
+    plan = plan.withColumn("budget", F.when(live, F.floor(F.least(total * F.col("weight") / F.lit(all_w), F.col("held") * F.col("max_repeats")) + F.lit(1e-6))).otherwise(F.lit(0)).cast("bigint"))
     plan = plan.withColumn("epochs", F.when(F.col("held") > 0, F.floor(F.col("budget") / F.col("held"))).otherwise(F.lit(0)).cast("int"))
     plan = plan.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("held"))
     plan = cut_lineage(plan.select("source", "weight", "max_repeats", "held", "n_docs", "budget", "epochs", "rest"))  # a row for each target
 
     by_bucket = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     runs = sums.select("source", "b", "t", F.coalesce(F.sum("t").over(by_bucket), F.lit(0)).alias("before"))
-    edge = runs.join(F.broadcast(plan.select("source", "rest", "epochs")), "source")
+    edge = runs.join(small(plan.select("source", "rest", "epochs")), "source")
     edge = edge.select("source", "b", "before", "rest", "epochs", F.when(F.col("before") + F.col("t") <= F.col("rest"), 1).when(F.col("before") >= F.col("rest"), 0).otherwise(-1).alias("part"))
-    docs = sized.withColumn("b", F.least(F.floor((1 - F.col("u")) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")).join(F.broadcast(edge), ["source", "b"])
+    docs = sized.withColumn("b", F.least(F.floor((1 - F.col("u")) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")).join(small(edge), ["source", "b"])
     sure = docs.where("part >= 0").select("doc", "source", "n_tokens", (F.col("epochs") + F.col("part")).alias("times"))
     order = Window.partitionBy("source", "b").orderBy(F.col("u").desc(), "doc").rowsBetween(Window.unboundedPreceding, 0)
     fit = (F.col("before") + F.sum("n_tokens").over(order) <= F.col("rest")).cast("int")
@@ -71,8 +75,8 @@ def mix_sources(sized: DataFrame, targets: DataFrame, total_tokens: int | None =
     mix = sure.unionByName(open_).where("times > 0").select(F.col("doc").alias("doc_id"), "source", "n_tokens", F.col("times").cast("int").alias("times"))
 
     used = mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("used"), F.max("times").alias("most"), F.count("*").alias("docs_used"))
-    all_used = used.agg(F.sum("used").alias("all_used"))
-    shares = plan.join(used, "source", "left").crossJoin(F.broadcast(all_used)).select(
+    all_used = F.sum("used").over(Window.partitionBy(F.lit(0)))  # a row for each target
+    shares = plan.join(used, "source", "left").withColumn("all_used", all_used).select(
         "source",
         F.col("weight").alias("target_share"),
         F.coalesce("n_docs", F.lit(0)).alias("documents"),
