@@ -90,14 +90,16 @@ def novelty(answer: list[str], question: list[str]) -> float:
 
 
 def copies(answer: str, question: str) -> bool:
-    """A low novelty, and an exact check: nothing but the question's words and labels, and most of the question."""
-    a, q = [w for w in words_of(answer) if w not in LABELS], words_of(question)
+    """A low novelty, and an exact check: the question once or more and nothing beside it, or most of it and nothing else."""
+    a, q = ([w for w in words_of(x) if w not in LABELS] for x in (answer, question))
     if len(q) < 3 or len(a) < 0.75 * len(q) or novelty(a, q) > 0.35:
         return False
-    asked = Counter(w for w in q if w not in LABELS)
-    rounds = max(1, -(-len(a) // max(1, len(q))))
-    rest = Counter(a) - Counter({w: n * rounds for w, n in asked.items()})
-    return not rest and sum((Counter(a) & asked).values()) >= 0.75 * len(q)
+    said, asked = f" {' '.join(a)} ", f" {' '.join(q)} "
+    if asked in said:
+        while asked in said:
+            said = said.replace(asked, " ", 1)
+        return not said.strip()
+    return len(a) <= len(q) and not Counter(a) - Counter(q)
 
 
 def masked(text: str) -> list[str]:

@@ -59,11 +59,11 @@ def test_defects(spark):
     full = [f"The bell of Lake {n}, which {n} Tafe sold in 19{i:02d}, hung in {n} for {i} years before it was moved." for i, n in enumerate(["Gora", "Pimo", "Tasel", "Wuka", "Zelo"] * 8)]
     rows = {i: (PROMPT.format(Q), a) for i, a in enumerate(full)}
     bad = {
-        100: ("empty", None), 101: ("empty", ""), 102: ("empty", " …\n"), 103: ("copied_question", Q), 104: ("copied_question", Q.upper()), 105: ("copied_question", f"Question: {Q}\nAnswer:"), 106: ("refusal", "Sorry, I can't say."), 107: ("refusal", "The passages do not contain this information."),
+        100: ("empty", None), 101: ("empty", ""), 102: ("empty", " …\n"), 103: ("copied_question", Q), 104: ("copied_question", Q.upper()), 105: ("copied_question", f"Question: {Q}\nAnswer:"), 114: ("copied_question", f"{Q} {Q}"), 115: ("copied_question", Q.replace("bell ", "")), 106: ("refusal", "Sorry, I can't say."), 107: ("refusal", "The passages do not contain this information."),
         108: ("refusal", "Dazu kann ich leider keine Antwort geben."), 109: ("truncated", "The bell of Lake Gora, which Pimo Tafe sold in"), 110: ("truncated", "The bell of Lake Gora, which Pimo Tafe sold in 1954, hung in Wu"), 111: ("truncated", "Yes. Kipo described Gora (and, in 19"),
         112: ("other_language", "Beide werden genannt, aber nur Gora wurde wieder geöffnet."), 113: ("other_language", "答えはGoraです。鐘は後で売られたからです。"),
     }
-    good = [f"{Q} The answer is Wivond.", "Wivond", "1954", "no", "45 years", "the old bell", "Sorry as the owner of Gora was, the sale went ahead in 1940.", "Kipo did not know the answer when the visitors asked, but the third passage names Gora.", "Der Silberne Turm"]
+    good = [f"{Q} The answer is Wivond.", f"{Q} Lake Gikoum stands closer.", "Wivond", "1954", "no", "45 years", "the old bell", "Sorry as the owner of Gora was, the sale went ahead in 1940.", "Kipo did not know the answer when the visitors asked, but the third passage names Gora.", "Der Silberne Turm"]
     rows |= {k: (PROMPT.format(Q), a) for k, (_, a) in bad.items()} | {200 + i: (PROMPT.format(Q), a) for i, a in enumerate(good)}
     rows |= {300: (PROMPT.format(G), "Beide werden genannt, aber nur Gora wurde wieder geöffnet."), 301: (None, "Wivond"), 302: (PROMPT.format(G), "Both are mentioned, but only Gora was restored by the owner."), 303: (PROMPT.format(Q), "word " * 20_000 + "end.")}
     df = spark.createDataFrame([(k, p, a, "x") for k, (p, a) in rows.items()] * 2, "gen_id bigint, prompt string, answer string, defect string")
