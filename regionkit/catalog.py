@@ -516,6 +516,17 @@ def bootstrap_mean_ci(spark, d):
     return _interval(s.select(F.col("condition").alias("grp"), F.concat_ws(":", "gen_id", "id").alias("k"), F.round("f1", 9).alias("x")))
 
 
+def _interval_10k(df: DataFrame) -> DataFrame:
+    out = stats.bootstrap_numpy(df, ["grp"], "x", key="k")
+    return out.select("grp", *[F.round(c, 6).alias(c) for c in ("point_estimate", "ci_low", "ci_high")], "n_resamples")
+
+
+@query()
+def bootstrap_mean_ci_10k(spark, d):
+    s = _scored(spark, d)
+    return _interval_10k(s.select(F.col("condition").alias("grp"), F.concat_ws(":", "gen_id", "id").alias("k"), F.round("f1", 9).alias("x")))
+
+
 _PAIRED = "v AS (SELECT dataset AS grp, id AS k, round(b - a, 9) AS x FROM (SELECT dataset, id, avg(f1) FILTER (condition = 'baseline') AS a, avg(f1) FILTER (condition = 'oracle') AS b FROM scored GROUP BY 1, 2) WHERE a IS NOT NULL AND b IS NOT NULL)"
 
 
@@ -530,6 +541,11 @@ def bootstrap_paired_ci(spark, d):
     return _interval(_paired(spark, d))
 
 
+@query()
+def bootstrap_paired_ci_10k(spark, d):
+    return _interval_10k(_paired(spark, d))
+
+
 @query(f"WITH {_SCORED} SELECT CASE WHEN grouping(dataset) = 0 THEN 'dataset' WHEN grouping(n_hops) = 0 THEN 'n_hops' ELSE 'all' END AS stratum, coalesce(dataset, n_hops::VARCHAR, '') AS level, count(*) AS n, round(avg(f1), 6) AS mean FROM scored GROUP BY GROUPING SETS ((), (dataset), (n_hops))")
 def strata_summary(spark, d):
     return stats.strata_summary(_scored(spark, d), ["dataset", "n_hops"], "f1").withColumn("mean", F.round("mean", 6)).withColumn("level", F.coalesce("level", F.lit("")))

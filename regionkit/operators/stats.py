@@ -28,11 +28,15 @@ def bootstrap_hash(df: DataFrame, groups: list[str], key: str, value: str, n_res
     return sizes.join(ci, groups).select(*g, "point_estimate", "ci_low", "ci_high", F.lit(n_resamples).alias("n_resamples"))
 
 
-def bootstrap_numpy(df: DataFrame, groups: list[str], value: str, n_resamples: int = 10_000, seed: int = 1337) -> DataFrame:
-    """The same interval from NumPy's generator, one group in one task: for samples that fit there, such as test scores."""
+def bootstrap_numpy(df: DataFrame, groups: list[str], value: str, n_resamples: int = 10_000, seed: int = 1337, key: str | None = None) -> DataFrame:
+    """The same interval from NumPy's generator, one group in one task: for samples that fit there, such as test scores.
+
+    Rows are drawn by their place in the order of key and value (of value without a key), however they arrive.
+    """
+    order = [*([key] if key else []), value]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[value].to_numpy(float)
+        x = pdf.sort_values(order)[value].to_numpy(float)
         rng = np.random.default_rng(seed)
         means = np.array([x[rng.integers(0, len(x), len(x))].mean() for _ in range(n_resamples)])
         low, high = np.percentile(means, [2.5, 97.5])
@@ -40,7 +44,7 @@ def bootstrap_numpy(df: DataFrame, groups: list[str], value: str, n_resamples: i
 
     kinds = dict(df.dtypes)
     schema = ", ".join([*(f"`{g}` {kinds[g]}" for g in groups), "point_estimate double, ci_low double, ci_high double, n_resamples int"])
-    return df.where(F.col(value).isNotNull()).select(*groups, value).groupBy(*groups).applyInPandas(run, schema)
+    return df.where(F.col(value).isNotNull()).select(*groups, *order).groupBy(*groups).applyInPandas(run, schema)
 
 
 def strata_summary(df: DataFrame, strata: list[str], value: str) -> DataFrame:

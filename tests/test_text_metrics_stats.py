@@ -9,6 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from regionkit import catalog
 from regionkit.functions import metrics as M
 from regionkit.functions import text as T
 from regionkit.operators import audit, runs, stats, world
@@ -64,6 +65,25 @@ def test_bootstraps(spark):
     assert stats.bootstrap_hash(df.where("false"), ["grp"], "k", "x", 5).count() == 0
 
 
+def test_registered_intervals_draw_10000(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    right = {c: rng.random(40) < p for c, p in (("baseline", 0.4), ("oracle", 0.7))}
+    rows = [(i + 1000 * (c == "oracle"), f"q{i}", c, "x" if ok else "y", None) for c, v in right.items() for i, ok in enumerate(v)]
+    spark.createDataFrame(rows, "gen_id bigint, id string, condition string, answer string, error string").write.parquet(f"{tmp_path}/generations.parquet")
+    spark.createDataFrame([(f"q{i}", "d", 2, "x") for i in range(40)], "id string, dataset string, n_hops int, answer string").write.parquet(f"{tmp_path}/multihop_questions.parquet")
+
+    def interval(keyed):
+        x = np.array([v for _, v in sorted(keyed)])
+        r = np.random.default_rng(1337)
+        low, high = np.percentile([x[r.integers(0, len(x), len(x))].mean() for _ in range(10_000)], [2.5, 97.5])
+        return pytest.approx((x.mean(), low, high, 10_000), abs=1e-6)
+
+    got = {r[0]: tuple(r)[1:] for r in catalog.QUERIES["bootstrap_mean_ci_10k"](spark, str(tmp_path)).collect()}
+    assert got == {c: interval([(f"{i + 1000 * (c == 'oracle')}:q{i}", float(ok)) for i, ok in enumerate(v)]) for c, v in right.items()}
+    got = {r[0]: tuple(r)[1:] for r in catalog.QUERIES["bootstrap_paired_ci_10k"](spark, str(tmp_path)).collect()}
+    assert got == {"d": interval([(f"q{i}", float(b) - float(a)) for i, (a, b) in enumerate(zip(right["baseline"], right["oracle"]))])}
+
+
 def test_decisions(spark):
     df = spark.createDataFrame([(2.0, 0.3), (1.5, 0.4), (3.0, 0.1), (-1.0, 0.9)], "l double, c double")
     assert [r[0] for r in df.select(stats.answer_decision(F.col("l"), F.col("c"))).collect()] == ["GO", "WEAK GO", "NO-GO", "NO-GO"]
