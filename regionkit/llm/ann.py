@@ -42,10 +42,11 @@ class Codes:
 
     The length is the one at which a row costs least: m (1 + length / 2) lookups and its expected chance meetings, with
     the least m at which a vector and another at the design similarity meet with probability `recall`; both are
-    measured on the sample. The whole code, by which chance meetings are told apart, has at least 128 bits.
+    measured on the sample. Lengths at which no m reaches it don't count; if all are such, shorter ones are taken.
+    The whole code, by which chance meetings are told apart, has 128 to 186 bits.
     """
 
-    def __init__(self, sample: np.ndarray, n: int, metric: str, near: float, recall: float = 0.995, most: int = 16, longest: int = 46):
+    def __init__(self, sample: np.ndarray, n: int, metric: str, near: float, recall: float = 0.995, longest: int = 46, width: int = 736):
         x = sample / np.linalg.norm(sample, axis=1, keepdims=True) if metric == COSINE else sample
         d = x.shape[1]
         self.metric = metric
@@ -53,8 +54,8 @@ class Codes:
         x = x - self.mean
         if few := len(x) < 1000:
             x = np.tile(x, (-(-1000 // len(x)), 1))  # each row is moved in several directions
-        width = most * longest
-        turn = learned_rotations(x, -(-width // d))[:, :width]
+        # of the sample, one half teaches the rotations, and the other, which they don't fit better than any vector, measures
+        turn = learned_rotations(x if few else x[::2], -(-width // d))[:, :width]
         turn = turn[:, np.random.default_rng(9).permutation(turn.shape[1])]
         y = x @ turn
         # how often a bit flips between a vector and another at the similarity `near`, measured on the sample
@@ -77,19 +78,25 @@ class Codes:
             c = np.quantile(y[:, i], at)
             cut[i] = c[np.argmin(((y[:, i, None] > c) != (z[:, i, None] > c)).mean(axis=0) + 0.05 * np.abs(at - share[i]))]
         on = y > cut
-        flips = (z > cut) != on
+        flips = ((z > cut) != on)[slice(None) if few else slice(1, None, 2)]
         some = (on[:1500] * 2 - 1).astype(np.float32)
-        best = (math.inf, 2, longest)
-        for bits in range(min(longest, max(8, round(math.log2(max(n, 2))))), longest + 1, 2):
-            hit = flips[:, : most * bits].reshape(len(x), most, bits).sum(2) <= 1
-            m = next((m for m in range(2, most + 1) if hit[:, :m].any(axis=1).mean() >= recall), most)
-            chance = np.mean([((bits - some[:, i * bits : (i + 1) * bits] @ some[:, i * bits : (i + 1) * bits].T) / 2 <= 1).mean() - 1 / len(some) for i in range(2)])
-            best = min(best, (m * (1 + bits / 2 + max(0.0, chance) * n / 2), m, bits))
-        _, self.m, self.bits = best
-        width = max(128, self.m * self.bits)
-        self.turn, self.cut = turn[:, :width], cut[:width]
-        self.radius = int(max(2 * self.m - 1, math.ceil(np.quantile(flips[:, :width].sum(1), 0.9995)) + 1))
-        self.words = -(-width // 62)
+
+        def costs(lengths):
+            for bits in lengths:
+                most = width // bits
+                met = np.logical_or.accumulate(flips[:, : most * bits].reshape(len(flips), most, bits).sum(2) <= 1, axis=1).mean(axis=0)
+                if met[-1] >= recall:
+                    m = max(2, int(np.argmax(met >= recall)) + 1)
+                    chance = np.mean([((bits - some[:, i * bits : (i + 1) * bits] @ some[:, i * bits : (i + 1) * bits].T) / 2 <= 1).mean() - 1 / len(some) for i in range(2)])
+                    yield m * (1 + bits / 2 + max(0.0, chance) * n / 2), m, bits
+
+        usual = min(longest, max(8, round(math.log2(max(n, 2)))))
+        # of one bit, every substring meets
+        _, self.m, self.bits = min(costs(range(usual, longest + 1, 2)), default=None) or next(costs(range(usual - 1, 0, -1)))
+        self.code = max(128, min(self.m * self.bits, 186))
+        self.turn, self.cut = turn[:, : max(self.code, self.m * self.bits)], cut[: max(self.code, self.m * self.bits)]
+        self.radius = int(max(2 * self.m - 1, math.ceil(np.quantile(flips[:, : self.code].sum(1), 0.9995)) + 1))
+        self.words = -(-self.code // 62)
 
     def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Substrings (n x m) and the whole code in words of 62 bits (n x words)."""
@@ -98,7 +105,7 @@ class Codes:
         on = ((x - self.mean) @ self.turn) > self.cut
         subs = on[:, : self.m * self.bits].reshape(len(x), self.m, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
         pad = np.zeros((len(x), self.words * 62), dtype=bool)
-        pad[:, : on.shape[1]] = on
+        pad[:, : self.code] = on[:, : self.code]
         return subs, pad.reshape(len(x), self.words, 62) @ (1 << np.arange(62, dtype=np.int64))
 
 
@@ -203,7 +210,7 @@ def most_similar(df: DataFrame, id_col: str, vec_col: str, dim: int, metric: str
     null, of another length, not finite, or (for cosine) all zero don't count. An id counts once; of different vectors
     under one id the smallest counts. Equal similarities are ordered by the smaller id. Equal vectors form a class,
     searched once; at least two classes are needed for a search. `design` is the similarity for which the number of
-    substrings is chosen (default: a little above `least`), measured on at most 8,192 sampled classes that the
+    substrings is chosen (default: `least`), measured on at most 8,192 sampled classes that the
     rotations are learned from, too; all rows are indexed and all are queries.
     """
     rows = valid_vectors(df, id_col, vec_col, dim, metric == COSINE).withColumn("cls", F.xxhash64("v"))
@@ -226,7 +233,7 @@ def most_similar(df: DataFrame, id_col: str, vec_col: str, dim: int, metric: str
     else:
         part = F.pmod(F.xxhash64("cls"), F.lit(1_000_000)) < min(1_000_000, int(2e6 * SAMPLE / n) + 1)  # about twice the sample
         sample = classes.where(part).orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).select("v").toPandas().v
-        codes = Codes(np.stack(sample.to_numpy()).astype(float), n, metric, (design if design is not None else (0.6 + 0.4 * least if metric == COSINE else least)) * (1 if metric == COSINE else -1))
+        codes = Codes(np.stack(sample.to_numpy()).astype(float), n, metric, (design if design is not None else least) * (1 if metric == COSINE else -1))
         met = candidate_pairs(classes, codes, metric, k, least)
         a, b = classes.select(F.col("cls").alias("a"), F.col("v").alias("va"), F.col("n").alias("na")), classes.select(F.col("cls").alias("b"), F.col("v").alias("vb"), F.col("n").alias("nb"))
         scored = met.join(a, "a").join(b, "b").select("a", "b", "na", "nb", similarity("va", "vb", metric).alias("sim")).where(F.col("sim") >= least)

@@ -59,6 +59,29 @@ def test_recall_against_brute_force(spark, metric, least, noise, dim):
     assert len(got - want) <= 0.03 * len(want)
 
 
+def pairs_at(rng, n, dim, cosine):
+    x, y = rng.standard_normal((2, n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (y * x).sum(1, keepdims=True) * x
+    return x, cosine * x + (1 - cosine**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("n", [80_800, 808_000, 20_000_000])
+def test_codes_meet_at_the_design_similarity(n):
+    x, y = pairs_at(np.random.default_rng(7), 8000, 64, 0.9)
+    codes = ann.Codes(x[:4000], n, ann.COSINE, 0.9)
+    (a, wa), (b, wb) = codes(x[4000:]), codes(y[4000:])
+    met = (np.bitwise_count(a ^ b) <= 1).any(axis=1) & (np.bitwise_count(wa ^ wb).sum(axis=1) <= codes.radius)
+    assert met.mean() >= 0.985
+
+
+def test_recall_at_the_least_similarity(spark):
+    x, y = pairs_at(np.random.default_rng(8), 3000, 64, 0.902)
+    df = spark.createDataFrame([(f"{k}{i}", [float(e) for e in v]) for k, z in (("a", x), ("b", y)) for i, v in enumerate(z)], "id string, v array<double>")
+    got = {(r.id, r.other) for r in ann.most_similar(df, "id", "v", 64, ann.COSINE, 0.9).collect()}
+    assert sum((f"a{i}", f"b{i}") in got for i in range(3000)) >= 0.985 * 3000
+
+
 def test_crowded_buckets_lose_nothing(spark, monkeypatch):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((900, 8))
