@@ -91,3 +91,20 @@ def test_overlaps(spark, names):
     rep = {(x.split, x.source): (x.records, x.pairs) for x in overlap.overlap_report(pairs_, df.withColumn("source", F.lit(None).cast("string")), "rec_no", "split", "source").collect()}
     assert rep == {("dev", None): (9, 9), ("test", None): (2, 2)}
     assert overlap.cross_split_overlaps(df.where("false"), "rec_no", "split", "id", "question", names, "title").count() == 0
+
+
+def overlapping(spark, names, rows, wording=True):
+    lines = [f"Who {w} the harbour in {y}?" for y in (1901, 1902, 1903) for w in ("founded", "drained", "opened")] if wording else []
+    rows = [*((900 + i, "train", None, t) for i, t in enumerate(lines)), *((k, s, f"i{k}", t) for k, s, t in rows)]
+    df = spark.createDataFrame(rows, "rec_no bigint, split string, id string, question string")
+    return {(x.rec_a, x.rec_b) for x in overlap.cross_split_overlaps(df, "rec_no", "split", "id", "question", names, "title").collect()}
+
+
+def test_overlaps_of_questions_with_fewer_than_two_names(spark, names):
+    one, none = "Who founded Lake Gikoum?", "When was the ballot paper first counted by machine?"
+    hits = [(200, one.replace("founded", "foundde")), (201, "Hey, could you tell me please: who founded Lake Gikoum"), (202, "who founded lake gikoum"), (203, "WHO FOUDED LAKE GIKOUM?")]
+    hits0 = [(300, none.replace("ballot", "balot")), (301, "Please tell me, when was ballot paper first counted by machine?"), (302, none.lower())]
+    miss = [(400, one.replace("founded", "drained")), (401, one.replace("Lake Gikoum", "Новкорпол")), (402, one.replace("Who", "When")), (403, none.replace("machine", "hand")), (404, one.replace("Gikoum", "Gikoun")), (405, "the"), (406, "Please?")]
+    rows = [(101, "train", one), (102, "train", none), (103, "train", "a")]
+    got = overlapping(spark, names, rows + [(k, "dev", t) for k, t in hits + hits0 + miss])
+    assert got == {(101, k) for k, _ in hits} | {(102, k) for k, _ in hits0}
