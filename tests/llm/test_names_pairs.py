@@ -108,3 +108,9 @@ def test_overlaps_of_questions_with_fewer_than_two_names(spark, names):
     rows = [(101, "train", one), (102, "train", none), (103, "train", "a")]
     got = overlapping(spark, names, rows + [(k, "dev", t) for k, t in hits + hits0 + miss])
     assert got == {(101, k) for k, _ in hits} | {(102, k) for k, _ in hits0}
+
+
+def test_overlaps_keep_the_keys_of_all_copies_of_a_form(spark, names):
+    cased = "Did Tavo ratify the pact at Lake Gikoum and Kuva (film)?"
+    rows = [(101, "train", cased), (102, "train", cased.lower()), (201, "dev", cased.lower().replace("at lake", "at the lake"))]
+    assert overlapping(spark, names, rows) == {(101, 201), (102, 201)}
