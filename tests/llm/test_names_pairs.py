@@ -26,6 +26,12 @@ def test_lookalikes(spark, names):
     assert lookalike.find_lookalikes(values(spark, []), names, "title").count() == 0
 
 
+def test_a_list_too_long_raises(names):
+    assert lookalike.names_of(names, "title", most=12) == sorted(n for _, n in NAMES)
+    with pytest.raises(ValueError):
+        lookalike.names_of(names, "title", most=11)
+
+
 def test_elements_skip_nulls_and_blanks(spark):
     df = spark.createDataFrame([("a", ["x", None, " 　", "y"]), ("b", None), ("c", [])], "id string, gold_titles array<string>")
     assert sorted((r.rec_id, r.pos, r.value) for r in lookalike.elements(df, "m", F.col("id"), "gold_titles").collect()) == [("a", 0, "x"), ("a", 3, "y")]
