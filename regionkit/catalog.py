@@ -18,6 +18,7 @@ from .session import cut_lineage, table
 
 ALPHA = 0.35
 GRID = (0.3, 0.35, 0.5, 1.0, 2.0)
+FULL_GRID = (0.3, 0.35, *calibrate.ALPHA_GRID)
 
 QUERIES = {}
 SQL = {}
@@ -244,11 +245,11 @@ two AS (SELECT alpha, quantile_cont(list_sum(list_transform(sides, lambda s: ln(
 ratios AS (SELECT alpha, median_log_box, median_log_pair, exp(median_log_pair - median_log_box) AS ratio FROM own JOIN two USING (alpha))"""
 
 
-def _ratios(spark, d) -> DataFrame:
+def _ratios(spark, d, grid=GRID) -> DataFrame:
     corpus = _corpus(spark, d)
     # pairs are drawn by position in the order of ids
     ids = cut_lineage(_in_order(corpus.select("chunk_id")))
-    return calibrate.alpha_ratios(corpus, cut_lineage(retrieval.self_knn_mean(corpus)), calibrate.draw_pairs(ids, 1000), GRID)
+    return calibrate.alpha_ratios(corpus, cut_lineage(retrieval.self_knn_mean(corpus)), calibrate.draw_pairs(ids, 1000), grid)
 
 
 def _in_order(ids: DataFrame) -> DataFrame:
@@ -269,6 +270,16 @@ def alpha_choice(spark, d):
     return calibrate.choose_alpha(_ratios(spark, d)).select("alpha")
 
 
+@query()
+def alpha_grid_ratio_full(spark, d):
+    return _ratios(spark, d, FULL_GRID).select("alpha", F.round("median_log_box", 4).alias("median_log_box"), F.round("median_log_pair", 4).alias("median_log_pair"))
+
+
+@query()
+def alpha_choice_full(spark, d):
+    return calibrate.choose_alpha(_ratios(spark, d, FULL_GRID)).select("alpha")
+
+
 # ---- retrieval metrics ---------------------------------------------------------------------------------------------
 
 _GOLD = "gold AS (SELECT query_id, chunk_id, pos FROM (SELECT query_id, vec_id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY vec_id) AS pos FROM q JOIN unit ON q.label = unit.label AND vec_id <> query_id) WHERE pos <= 2)"

@@ -1,9 +1,11 @@
+import math
 from itertools import combinations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from regionkit import catalog
 from regionkit.operators import calibrate, retrieval, sweep
 
 
@@ -114,3 +116,16 @@ def test_random_chunks_have_no_repeats(spark):
     for i in range(3):
         ids = [r.chunk_id for r in got if r.query_id == i]
         assert len(ids) == len(set(ids)) == 25
+
+
+def test_full_grid_reaches_beyond_two(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.standard_normal((6, 64)), 15, axis=0) + 0.1 * rng.standard_normal((90, 64))
+    df = spark.createDataFrame([(i, i // 15, [float(e) for e in v]) for i, v in enumerate(x)], "vec_id bigint, label int, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    q = {k: catalog.QUERIES[k](spark, str(tmp_path)).collect() for k in ("alpha_choice", "alpha_choice_full", "alpha_grid_ratio_full")}
+    assert {r.alpha for r in q["alpha_grid_ratio_full"]} == {0.3, 0.35, *calibrate.ALPHA_GRID}
+    ratio = {r.alpha: r.median_log_pair - r.median_log_box for r in q["alpha_grid_ratio_full"]}
+    best = min(ratio, key=lambda a: (abs(max(ratio[a], math.log(1e-30)) - math.log(0.05)), a))
+    assert q["alpha_choice"][0].alpha == 2.0
+    assert q["alpha_choice_full"][0].alpha == best > 2.0
