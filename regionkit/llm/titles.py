@@ -65,6 +65,17 @@ def shorter(word: str, by: int = 1) -> set[str]:
     return out
 
 
+def halves(word: str, cuts: range) -> set[str]:
+    """Beginnings and ends of the word up to each cut, and what is left of them without one letter.
+
+    Of a word with three slips one half has one at most. A cut may fall between two exchanged letters; the next one doesn't.
+    """
+    out = set()
+    for c in cuts:
+        out |= {"<" + x for x in shorter(word[:c])} | {">" + x for x in shorter(word[c:])}
+    return out
+
+
 class Matcher:
     def __init__(self, entries: list[tuple[int, str]]):
         self.exact = {t: i for i, t in entries}
@@ -108,11 +119,22 @@ class Matcher:
             if len(k) > 3:
                 for x in shorter(k):
                     self.near[x] |= v
+        self.long: dict[str, set[int]] = defaultdict(set)  # by a rare word that may have three slips
+        self.half: dict[str, set[str]] = defaultdict(set)  # such words by their halves
         for i, w in self.words.items():
+            may = [x for x in w if slips(x)]
+            # an entry of frequent words only has the rarest as its key
+            keyed = {x for x in may if counts[x] < 50} or set(sorted(may, key=lambda x: (counts[x], x))[:1])
             for x in w:
-                if counts[x] < 50 and slips(x):
+                if x in keyed:
                     for y in shorter(x, min(2, slips(x))):
                         self.rare[y].add(i)
+                    if slips(x) > 2:
+                        self.long[x].add(i)
+        self.longest = max(map(len, self.long), default=0)
+        for x in self.long:
+            for y in halves(x, range(len(x) // 2, len(x) // 2 + 2)):
+                self.half[y].add(x)
 
     def tokens(self, text: str) -> tuple[str, ...]:
         text = unicodedata.normalize("NFC", text.casefold())
@@ -190,6 +212,12 @@ class Matcher:
                 forms = {"".join(w), "".join((*w[1:], w[0])), "".join((w[-1], *w[:-1])), "".join(w[w[0] == "the" :])}
                 if min(distance(joined, f, 1) for f in forms) <= 1 and sorted(numbers) == sorted(re.findall(r"\d+", "".join(w))):
                     near[i] = min(near.get(i, math.inf), 1.0)
+        if min(near.values(), default=3) >= 3:
+            for x in words:
+                if slips(x) > 2 and len(x) <= self.longest + 3:
+                    met = set().union(*(self.half.get(k, ()) for k in halves(x, range(2, len(x) - 1))))
+                    for i in {i for y in met if abs(len(x) - len(y)) <= 3 and distance(x, y, 3) <= 3 for i in self.long[y]} - near.keys():
+                        near[i] = self.apart(words, self.words[i])
         near = {i: d for i, d in near.items() if d <= 3}
         if not near:
             return -1

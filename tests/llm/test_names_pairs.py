@@ -51,6 +51,14 @@ def test_mapping(spark, names):
         titles.map_to_list(df, names, "title_id", "title", max_entries=3)
 
 
+def test_mapping_by_three_slips_and_by_frequent_words():
+    entries = [(i, f"Harbour Station {chr(97 + i % 26)}{chr(97 + i // 26)}zul") for i in range(60)] + [(100, "Station Harbour"), (101, "Gokbomaer"), (102, "Tafelowinzak Lake")]
+    m = titles.Matcher(entries)
+    assert m.find("Statoin Harbuor") == 100
+    assert [m.find(x) for x in ("Gakbumair", "Tefelawinzok Lake", "aTfelowniazk Lake", "felowinzak Lake")] == [101, 102, 102, 102]
+    assert m.find("Gakbumiar") == m.find("Lake") == m.find("Station Harvestor") == -1
+
+
 def test_distance():
     assert titles.distance("abc", "acb", 2) == 1 and titles.distance("abc", "abc", 0) == 0
     assert titles.distance("abcd", "bd", 2) == 2 and titles.distance("abc", "xyz", 2) == 3
