@@ -13,7 +13,7 @@ from .functions import boxes as B
 from .functions import metrics as M
 from .functions import text as T
 from .functions import vectors as V
-from .operators import audit, calibrate, retrieval, runs, stats, sweep
+from .operators import audit, calibrate, retrieval, runs, stats, sweep, world
 from .session import cut_lineage, table
 
 ALPHA = 0.35
@@ -597,51 +597,87 @@ def percentiles(spark, d):
 
 
 # ---- synthetic world -----------------------------------------------------------------------------------------------
-# The relation is drawn by md5, so that SQL can draw it, too: entities are 0 to 95, properties 0 to 11.
 
-_WORLD = """att AS (SELECT e::INTEGER AS entity, k::INTEGER AS prop FROM range(96) a(e), range(12) b(k) WHERE ('0x' || substr(md5(e || ':' || k || ':7'), 1, 8))::BIGINT % 100 < 35),
-qs AS (SELECT i::INTEGER AS i, j::INTEGER AS j FROM range(96) a(i), range(96) b(j) WHERE i <> j),
-two AS (SELECT i, j, x.prop FROM qs JOIN att x ON x.entity = (i + 17) % 96 JOIN att y ON y.entity = j AND y.prop = x.prop)"""
+_DRAW = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+_WORLD = f"""ent AS (SELECT e::INTEGER AS entity FROM range(96) t(e)), prp AS (SELECT k::INTEGER AS prop FROM range(12) t(k)),
+att0 AS (SELECT entity, prop FROM ent, prp WHERE {_DRAW.format("'has:' || entity || ':' || prop || ':7'")} < {int(0.35 * (1 << 32))}),
+att AS (SELECT * FROM att0 UNION ALL SELECT entity, ({_DRAW.format("'own:' || entity || ':7'")} % 12)::INTEGER FROM ent ANTI JOIN att0 USING (entity)),
+rng AS (SELECT entity, row_number() OVER (ORDER BY {_DRAW.format("'ring:' || entity || ':7'")}, entity) AS r FROM ent),
+par AS (SELECT a.entity, b.entity AS other FROM rng a JOIN rng b ON b.r = a.r % 96 + 1),
+hld AS (SELECT entity FROM (SELECT entity, row_number() OVER (ORDER BY {_DRAW.format("'held:' || entity || ':7'")}, entity) AS r FROM ent) WHERE r <= 24),
+qs AS (SELECT a.entity AS i, b.entity AS j FROM ent a, ent b WHERE a.entity <> b.entity),
+trn AS (SELECT i, j FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY {_DRAW.format("'ask:' || i || ':' || j || ':7'")}, j) AS r FROM qs WHERE i NOT IN (SELECT entity FROM hld)) WHERE r <= 24),
+two AS (SELECT i, j, x.prop FROM qs JOIN par ON par.entity = i JOIN att x ON x.entity = other JOIN att y ON y.entity = j AND y.prop = x.prop),
+ood AS (SELECT * FROM qs WHERE i IN (SELECT entity FROM hld)), seen AS (SELECT * FROM qs WHERE i NOT IN (SELECT entity FROM hld) AND NOT EXISTS (SELECT 1 FROM trn WHERE trn.i = qs.i AND trn.j = qs.j))"""
 
 
-def _world(spark) -> tuple[DataFrame, DataFrame, DataFrame]:
-    r = lambda n, c: spark.range(n).select(F.col("id").cast("int").alias(c))
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    attrs = r(96, "entity").withColumn("prop", upto(12)).where(F.expr("cast(conv(substr(md5(concat(entity, ':', prop, ':7')), 1, 8), 16, 10) as bigint) % 100 < 35"))
-    partner = r(96, "entity").withColumn("other", ((F.col("entity") + 17) % 96).cast("int"))
-    queries = r(96, "i").withColumn("j", upto(96)).where("i <> j")
-    return attrs, partner, queries
+def _world(spark) -> tuple[dict[str, DataFrame], world.WorldParams]:
+    p = world.WorldParams()
+    return {k: cut_lineage(v) for k, v in world.build_world(spark, p).items()}, p
+
+
+def _every_question(w, p) -> DataFrame:
+    return world.ood_probe(w, p).unionByName(world.seen_control(w, p)).unionByName(w["train_query"])
 
 
 @query(f"WITH {_WORLD} SELECT i, j, prop FROM two")
 def two_hop_answer(spark, d):
-    from .operators import world
+    w, p = _world(spark)
+    return world.two_hop_answers(_every_question(w, p), w["partner"], w["attrs"])
+
+
+_WEIGHT = "(" + " + ".join(f"('0x' || substr(md5('weight:' || k.prop || ':' || (a.prop + {{0}}) || ':7'), {1 + 4 * i}, 4))::BIGINT" for i in range(4)) + " - 131070)"
+_THRESHOLD = f"""wx AS (SELECT a.entity, k.prop, sum({_WEIGHT.format(0)}) AS w FROM att a, prp k GROUP BY 1, 2), wy AS (SELECT a.entity, k.prop, sum({_WEIGHT.format(12)}) AS w FROM att a, prp k GROUP BY 1, 2),
+pre AS (SELECT i, j, wx.prop, wx.w + wy.w AS pre FROM qs JOIN par ON par.entity = i JOIN wx ON wx.entity = other JOIN wy ON wy.entity = j AND wy.prop = wx.prop),
+fit AS (SELECT i, j FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY {_DRAW.format("'fit:' || i || ':' || j || ':7'")}, j) AS r FROM qs) WHERE r <= 12),
+rate AS (SELECT sum(s * s) / 12 AS rate FROM (SELECT count(*) / 96 AS s FROM att GROUP BY prop)),
+srt AS (SELECT prop, list(pre.pre::DOUBLE ORDER BY pre.pre) AS a FROM pre JOIN fit USING (i, j) GROUP BY prop), pos AS (SELECT prop, a, (1 - rate) * (len(a) - 1) AS spot FROM srt, rate),
+theta AS (SELECT prop, a[floor(spot)::BIGINT + 1] + (a[ceil(spot)::BIGINT + 1] - a[floor(spot)::BIGINT + 1]) * (spot - floor(spot)) AS theta FROM pos)"""
+
+
+@query(f"WITH {_WORLD}, {_THRESHOLD} SELECT i, j, prop FROM pre JOIN theta USING (prop) WHERE pre > theta")
+def threshold_answer(spark, d):
+    w, p = _world(spark)
+    return world.threshold_answers(_every_question(w, p), w, p)
 
-    attrs, partner, queries = _world(spark)
-    return world.two_hop_answers(queries, partner, attrs)
 
+@query(f"""WITH {_WORLD}, par_ AS (SELECT 'attr' AS kind, [1, entity + 6, 3, prop + 102, 2, 0] AS t FROM att UNION ALL SELECT 'partner', [1, entity + 6, 4, other + 6, 2, 0] FROM par UNION ALL SELECT 'query', [1, i + 6, j + 6, 5, prop + 102, 2] FROM two JOIN trn USING (i, j))
+SELECT kind, array_to_string(t, ' ') AS tokens FROM par_""")
+def world_paragraphs(spark, d):
+    w, p = _world(spark)
+    return world.paragraphs(w, p).select("kind", F.array_join(F.transform("tokens", lambda t: t.cast("string")), " ").alias("tokens"))
 
-_F1G = f"""WITH {_WORLD}, pr AS (SELECT i, j, k::INTEGER AS prop, ('0x' || substr(md5(i || ':' || j || ':' || k), 1, 8))::BIGINT % 1000 AS p FROM qs, range(12) b(k)), sz AS (SELECT i, j, count(*) AS g FROM two GROUP BY 1, 2),
+
+@query(f"""WITH {_WORLD}, sz AS (SELECT i, j, count(*) AS g FROM two GROUP BY 1, 2), a AS (SELECT coalesce(g, 0) AS g FROM trn LEFT JOIN sz USING (i, j)), b AS (SELECT coalesce(g, 0) AS g FROM ood LEFT JOIN sz USING (i, j))
+SELECT (SELECT count(*) FROM att) + 96 + (SELECT count(*) FROM two JOIN trn USING (i, j)) AS n_paragraphs, 72::BIGINT AS n_trained, (SELECT count(*) FROM hld) AS n_heldout, (SELECT count(*) FROM trn) AS n_train_queries, (SELECT count(*) FROM att) AS n_attrs,
+(SELECT round(avg(g), 6) FROM a) AS mean_answer_train, (SELECT count(*) FROM b) AS n_ood, (SELECT round(avg(g), 6) FROM b) AS mean_answer_ood, (SELECT round(avg(CASE WHEN g > 0 THEN 1.0 ELSE 0.0 END), 6) FROM b) AS share_ood_nonempty, (SELECT count(*) FROM seen) AS n_seen,
+(SELECT bool_and(entity <> other) AND count(DISTINCT other) = 96 FROM par) AS partners_are_a_derangement, (SELECT count(*) = 0 FROM trn WHERE i IN (SELECT entity FROM hld)) AS heldout_never_asked, round((SELECT count(*) FROM att) / 96, 6) AS mean_attrs""")
+def world_statistics(spark, d):
+    w, p = _world(spark)
+    means = ("mean_answer_train", "mean_answer_ood", "share_ood_nonempty", "mean_attrs")
+    out = world.world_statistics(w, p)
+    return out.select(*[F.round(c, 6).alias(c) if c in means else c for c in out.columns])
+
+
+_F1G = f"""WITH {_WORLD}, pr AS (SELECT i, j, prop, {_DRAW.format("i || ':' || j || ':' || prop")} % 1000 AS p FROM qs, prp), sz AS (SELECT i, j, count(*) AS g FROM two GROUP BY 1, 2),
 rk AS (SELECT pr.*, g, row_number() OVER (PARTITION BY pr.i, pr.j ORDER BY p DESC, prop) AS r FROM pr JOIN sz ON pr.i = sz.i AND pr.j = sz.j),
 hit AS (SELECT rk.i, rk.j, g, count(two.prop) / g AS f1 FROM rk LEFT JOIN two ON rk.i = two.i AND rk.j = two.j AND rk.prop = two.prop WHERE r <= g GROUP BY rk.i, rk.j, g)"""
 
 
-def _probed(spark) -> DataFrame:
-    from .operators import world
+def _probed(w, p, questions: DataFrame) -> DataFrame:
+    probs = questions.withColumn("prop", F.explode(F.sequence(F.lit(0), F.lit(p.n_props - 1)))).withColumn("p", F.expr("cast(conv(substr(md5(concat(i, ':', j, ':', prop)), 1, 8), 16, 10) as bigint) % 1000"))
+    return world.f1_at_g(world.two_hop_answers(questions, w["partner"], w["attrs"]), probs)
 
-    attrs, partner, queries = _world(spark)
-    probs = queries.withColumn("prop", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("p", F.expr("cast(conv(substr(md5(concat(i, ':', j, ':', prop)), 1, 8), 16, 10) as bigint) % 1000"))
-    return world.f1_at_g(world.two_hop_answers(queries, partner, attrs), probs)
 
-
-@query(f"{_F1G} SELECT i, j, g, round(f1, 6) AS f1 FROM hit")
+@query(f"{_F1G} SELECT i, j, g, round(f1, 6) AS f1, CASE WHEN f1 = 1 THEN 1.0::DOUBLE ELSE 0.0 END AS exact FROM hit")
 def f1_at_g(spark, d):
-    return _probed(spark).select("i", "j", "g", F.round("f1", 6).alias("f1"))
+    w, p = _world(spark)
+    return _probed(w, p, _every_question(w, p)).select("i", "j", "g", F.round("f1", 6).alias("f1"), "exact")
 
 
-@query(f"{_F1G}, o AS (SELECT count(*) AS n, avg(f1) AS f FROM hit WHERE i < 24), s AS (SELECT count(*) AS n, avg(f1) AS f FROM hit WHERE i >= 24) SELECT o.n AS n_ood, round(o.f, 6) AS f1_ood, s.n AS n_seen, round(s.f, 6) AS f1_seen, round(o.f - s.f, 6) AS gap FROM o, s")
+@query(f"""{_F1G}, o AS (SELECT count(*) AS n, avg(f1) AS f, avg(CASE WHEN f1 = 1 THEN 1.0 ELSE 0.0 END) AS e FROM hit JOIN ood USING (i, j)), s AS (SELECT count(*) AS n, avg(f1) AS f, avg(CASE WHEN f1 = 1 THEN 1.0 ELSE 0.0 END) AS e FROM hit JOIN seen USING (i, j))
+SELECT o.n AS n_ood, round(o.f, 6) AS f1_ood, round(o.e, 6) AS exact_ood, s.n AS n_seen, round(s.f, 6) AS f1_seen, round(s.e, 6) AS exact_seen, round(o.f - s.f, 6) AS gap FROM o, s""")
 def probe_report(spark, d):
-    from .operators import world
-
-    f = _probed(spark)
-    return world.probe_report(f.where("i < 24"), f.where("i >= 24")).select("n_ood", F.round("f1_ood", 6).alias("f1_ood"), "n_seen", F.round("f1_seen", 6).alias("f1_seen"), F.round("gap", 6).alias("gap"))
+    w, p = _world(spark)
+    out = world.probe_report(_probed(w, p, world.ood_probe(w, p)), _probed(w, p, world.seen_control(w, p)))
+    return out.select("n_ood", "n_seen", *[F.round(c, 6).alias(c) for c in ("f1_ood", "exact_ood", "f1_seen", "exact_seen", "gap")])

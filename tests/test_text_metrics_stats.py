@@ -116,6 +116,21 @@ def test_world(spark):
     assert {len(r.tokens) for r in world.paragraphs(w, p).collect()} == {6}
     assert world.ood_probe(w, p).count() == len(held) * 19
     assert world.seen_control(w, p).join(w["train_query"], ["i", "j"]).count() == 0
+    ood = world.ood_probe(w, p)
+    both = {(r.i, r.j, r.prop) for r in world.two_hop_answers(ood, w["partner"], w["attrs"]).collect()}
+    other = {(r.i, r.j, r.prop) for r in world.threshold_answers(ood, w, p).collect()}
+    assert other and len(both ^ other) > 0.2 * 5 * ood.count() * 0.5  # another relation, of a like share of answers
+    assert 0.5 < len(other) / len(both) < 2
+    stats_ = world.world_statistics(w, p).first()
+    assert stats_.partners_are_a_derangement and stats_.heldout_never_asked and stats_.n_trained + stats_.n_heldout == 20
+    asked = world.supervised_queries(w, p, "threshold")
+    assert asked.count() == w["train_query"].count()
+
+
+def test_world_fills_empty_entities(spark):
+    w = world.build_world(spark, world.WorldParams(n_entities=6, n_props=3, density=0.0, queries_per_entity=99))
+    assert sorted(r.entity for r in w["attrs"].collect()) == [*range(6)]
+    assert w["train_query"].count() == 4 * 5
 
 
 def test_f1_at_g(spark):
