@@ -25,7 +25,8 @@ SPACE = "\t-\r \x85\xa0  -     　"
 
 #: A run of white space with the run of other characters behind it: no pre-token reaches over its end.
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-MAX_CACHED = 200_000
+#: Bytes that a worker keeps of words and chunks it has seen, about; and the length from which one is not kept.
+MAX_HELD, LONG = 64_000_000, 512
 
 
 def default_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -70,6 +71,9 @@ class Vocabulary:
             self.ends[node] = t
         self.words: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[int, ...]] = {}
+        self.held = 0
+        self.passing: list[str] = []  # long words and chunks, which go with the next texts
+        self.longest_token = max(map(len, rank), default=1)
         self.split = regex.compile(PATTERN).findall
 
     def follows(self, a: int, b: int, keep: bool = True) -> bool:
@@ -94,9 +98,44 @@ class Vocabulary:
             self.known[key] = ok
         return ok
 
+    def extend(self, b: bytes, stop: int, last: list[int], size: list[int]) -> None:
+        """Carry the last token of each prefix of b, and its bytes, on to the prefix of stop bytes."""
+        back, ends, follows = self.back, self.ends, self.follows
+        for end in range(len(last), stop + 1):
+            node, found = 0, []
+            for at in range(end - 1, -1, -1):
+                node = back.get(node << 8 | b[at], 0)
+                if not node:
+                    break
+                if (t := ends[node]) >= 0:
+                    found.append((at, t))
+            for at, t in reversed(found):
+                if not at or follows(last[at], t):
+                    last.append(t)
+                    size.append(end - at)
+                    break
+
+    def prefix(self, text: str, start: int, stop: int, most: int) -> tuple[int, list[int]]:
+        """The longest prefix of the pre-token text[start:stop] with at most `most` tokens, but for longer ones behind a stretch
+        that has over 64 more: where it ends, and the bytes of its tokens. One pass, which ends at that stretch.
+        """
+        b = text[start : min(stop, start + (most + 65) * self.longest_token)].encode("utf-8", "replace")
+        last, size, count, best, n = [-1], [0], [0], 0, len(b)
+        while len(count) <= n and count[-1] <= most + 64:
+            self.extend(b, min(n, len(last) + 255), last, size)
+            for end in range(len(count), len(last)):
+                count.append(count[end - size[end]] + 1)
+                if count[end] <= most and (end == n or b[end] & 0xC0 != 0x80):
+                    best = end
+        sizes, at = [], best
+        while at:
+            sizes.append(size[at])
+            at -= size[at]
+        return start + len(b[:best].decode()), sizes[::-1]
+
     def encode_words(self, words: list[str]) -> None:
         """Put the encodings of words into self.words by a depth-first walk over their trie."""
-        back, ends, follows, out = self.back, self.ends, self.follows, self.words
+        out = self.words
         todo = []
         for w in words:
             b = w.encode("utf-8", "replace")
@@ -113,19 +152,7 @@ class Vocabulary:
             while common < top and b[common] == before[common]:
                 common += 1
             del last[common + 1 :], size[common + 1 :]
-            for end in range(common + 1, n + 1):
-                node, found = 0, []
-                for at in range(end - 1, -1, -1):
-                    node = back.get(node << 8 | b[at], 0)
-                    if not node:
-                        break
-                    if (t := ends[node]) >= 0:
-                        found.append((at, t))
-                for at, t in reversed(found):
-                    if not at or follows(last[at], t):
-                        last.append(t)
-                        size.append(end - at)
-                        break
+            self.extend(b, n, last, size)
             ids, at = [], n
             while at:
                 ids.append(last[at])
@@ -137,17 +164,28 @@ class Vocabulary:
     def learn(self, texts: list[str]) -> list[list[str]]:
         """The chunks of each text, every distinct one encoded."""
         parts = [CHUNK.findall(t) if t else [] for t in texts]
-        if len(self.chunks) > MAX_CACHED:
+        for c in self.passing:
+            self.chunks.pop(c, None)
+            self.words.pop(c, None)
+        self.passing = []
+        if self.held > MAX_HELD:
             self.chunks.clear()
-        if len(self.words) > MAX_CACHED:
             self.words.clear()
+            self.held = 0
         new = {c for p in parts for c in p if c not in self.chunks}
         if new:
             by = {c: self.split(c) for c in new}
-            self.encode_words([w for w in {*chain.from_iterable(by.values())} if w not in self.words])
             words = self.words
+            fresh = [w for w in {*chain.from_iterable(by.values())} if w not in words]
+            self.encode_words(fresh)
             for c, p in by.items():
                 self.chunks[c] = words[p[0]] if len(p) == 1 else tuple(chain.from_iterable([words[w] for w in p]))
+            for kept, texts in ((words, fresh), (self.chunks, by)):
+                for c in texts:
+                    if len(c) > LONG:
+                        self.passing.append(c)
+                    else:
+                        self.held += 200 + len(c) + 8 * len(kept[c])
         return parts
 
     def encode(self, texts: list[str]) -> list[list[int]]:

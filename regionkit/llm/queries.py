@@ -90,7 +90,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return split.split_oversized(table(spark, d, "documents"), "doc_id", "text", only_oversized=True).where("piece = 0").select("doc_id")
+    return split.split_oversized(table(spark, d, "documents"), "doc_id", "text", only_oversized=True, texts=False).where("piece = 0").select("doc_id")
 
 
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:

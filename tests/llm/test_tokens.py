@@ -1,4 +1,6 @@
 import random
+import string
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -66,6 +68,43 @@ def test_pieces_cover_fit_and_overlap(vocabulary, limit, overlap):
         check(vocabulary, t, split.pieces_of(vocabulary, t, limit, overlap), limit, overlap)
 
 
+@pytest.mark.parametrize("alphabet,n", [(string.ascii_letters + string.digits + "+/", 4_000_000), (string.ascii_lowercase, 300_000), ("日本語中文字漢的一是不了人我在有他", 100_000), ("a", 300_000), ("é'!", 100_000)])
+def test_unbroken_runs_take_little_more_than_their_encoding(alphabet, n):
+    t = "".join(random.Random(n).choices(alphabet, k=n))
+    fresh = lambda: bpe.Vocabulary(bpe.read_vocabulary(bpe.default_path()))
+    v = fresh()
+    began = time.process_time()
+    v.encode([t])
+    plain = time.process_time() - began
+    v = fresh()
+    began = time.process_time()
+    pieces = split.pieces_of(v, t, 2000, 100)
+    assert time.process_time() - began < 3 * plain + 1
+    assert v.held <= 2 * bpe.MAX_HELD
+    check(v, t, pieces, 2000, 100)
+    assert min(n for _, _, n in pieces[:-1]) > 1000 and len(pieces) > 1
+
+
+def test_prefixes_of_words_as_encoded_alone(vocabulary):
+    rng = random.Random(2)
+    for _ in range(200):
+        t = "".join(rng.choice("abcé日🙂") for _ in range(rng.randint(1, 40)))
+        most = rng.randint(0, 12)
+        end, sizes = vocabulary.prefix(t, 0, len(t), most)
+        counts = [len(vocabulary.encode([t[:k]])[0]) for k in range(len(t) + 1)]
+        assert end == max(k for k, n in enumerate(counts) if n <= most) and len(sizes) == counts[end]
+        assert sum(sizes) == len(t[:end].encode())
+
+
+def test_what_a_worker_keeps_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_HELD", 50_000)
+    v = bpe.Vocabulary(bpe.read_vocabulary(bpe.default_path()))
+    rng = random.Random(3)
+    for _ in range(60):
+        v.encode(["".join(rng.choices(string.ascii_lowercase + " ", k=3000)), "".join(rng.choices(string.ascii_lowercase, k=3000))])
+        assert v.held < 50_000 + 3000 * 250 and not any(len(c) > bpe.LONG for c in {*v.words, *v.chunks} - {*v.passing})
+
+
 def test_cut_at_paragraphs_first(vocabulary):
     text = "One two three four. Five six seven.\n\nEight nine ten eleven twelve. Thirteen."
     a, b, _ = split.pieces_of(vocabulary, text, 14, 0)[0]
@@ -80,6 +119,10 @@ def test_split_rows(spark):
     only = split.split_oversized(df, "doc_id", "text", 100, 10, only_oversized=True)
     assert only.exceptAll(spark.createDataFrame(got, only.schema)).count() == 0 and {r.doc_id for r in only.collect()} == {1, 5}
     assert split.split_oversized(df.where("false"), "doc_id", "text").count() == 0
+    bare = split.split_oversized(df, "doc_id", "text", 100, 10, texts=False)
+    assert "piece_text" not in bare.columns and bare.count() == len(got)
+    torn = spark.createDataFrame([(1, bytearray(b"\xff1" * 60))], "doc_id bigint, text binary")  # no UTF-8
+    assert split.split_oversized(torn, "doc_id", "text", 100, 10, only_oversized=True).count() == split.split_oversized(torn, "doc_id", "text", 100, 10).count() == 2
     with pytest.raises(ValueError):
         split.split_oversized(df, "doc_id", "text", 10, 5)
 
