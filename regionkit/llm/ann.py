@@ -1,15 +1,17 @@
 """The k most similar vectors of every vector, by multi-index hashing of learned binary codes.
 
-Rotations learned on a bounded sample turn each vector into a binary code, which is split into m substrings of
-about log2(n) bits. All vectors are indexed by every substring. Two codes within a Hamming radius of 2m - 1 agree in
-at least one substring up to one bit (pigeonhole), so each substring is looked up as it is and with each one of its
-bits flipped; of a pair that differs in a bit, only the side with the 0 flips it. Pairs that meet within the radius
-of the whole code are ranked by their floats.
+Rotations learned on a bounded sample give each vector several binary codes (tables). A code is split into m substrings,
+by each of which all vectors are indexed. Two codes within the Hamming radius 2m - 1 agree in at least one substring
+up to one bit (pigeonhole), so each substring is looked up as it is and with each of its bits flipped; of a pair that
+differs in a bit, only the side with the 0 flips it. That finds every code within the radius, and only those are kept.
+The number of tables is such that pairs at the least similarity wanted lie within the radius of one of them. Pairs that
+met are ranked by their floats.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,10 @@ from .topn import top_n_per_group
 
 SAMPLE = 8192
 COSINE, EUCLID = "cosine", "euclid"
+#: Bits of the word that travels with a lookup beside its code, to tell most chance meetings from others.
+WORD = 62
+#: What a meeting and a pair of floats to be compared cost, if a lookup, which is shuffled, costs 1.
+MEETING, COMPARISON = 0.02, 3.0
 
 
 def learned_rotations(x: np.ndarray, count: int, seed: int = 5, rounds: int = 15) -> np.ndarray:
@@ -38,27 +44,21 @@ def learned_rotations(x: np.ndarray, count: int, seed: int = 5, rounds: int = 15
 
 
 class Codes:
-    """Everything that turns vectors into codes: mean, rotations, thresholds, number and length of the substrings.
+    """Everything that turns vectors into codes: mean, rotations, thresholds, number and length of tables and substrings.
 
-    The length is the one at which a row costs least: m (1 + length / 2) lookups and its expected chance meetings, with
-    the least m at which a vector and another at the design similarity meet with probability `recall`; both are
-    measured on the sample. Lengths at which no m reaches it don't count; if all are such, shorter ones are taken.
-    The whole code, by which chance meetings are told apart, has 128 to 186 bits.
+    Two or three substrings of a length at which a row costs least: its lookups, and its expected chance meetings. For
+    each there are as many tables as it takes for a vector and another at the similarity `near` to lie within the radius
+    of one with probability `recall`, measured on the sample; as many rotations are learned as that needs. Substrings of
+    one bit meet always, so some length reaches any recall; over `widest` bits in all, a cheaper one is not looked for.
     """
 
-    def __init__(self, sample: np.ndarray, n: int, metric: str, near: float, recall: float = 0.995, longest: int = 46, width: int = 736):
+    def __init__(self, sample: np.ndarray, n: int, metric: str, near: float, recall: float = 0.985, longest: int = 29, widest: int = 8192):
         x = sample / np.linalg.norm(sample, axis=1, keepdims=True) if metric == COSINE else sample
-        d = x.shape[1]
         self.metric = metric
         self.mean = x.mean(axis=0)
         x = x - self.mean
         if few := len(x) < 1000:
             x = np.tile(x, (-(-1000 // len(x)), 1))  # each row is moved in several directions
-        # of the sample, one half teaches the rotations, and the other, which they don't fit better than any vector, measures
-        turn = learned_rotations(x if few else x[::2], -(-width // d))[:, :width]
-        turn = turn[:, np.random.default_rng(9).permutation(turn.shape[1])]
-        y = x @ turn
-        # how often a bit flips between a vector and another at the similarity `near`, measured on the sample
         step = np.random.default_rng(3).standard_normal(x.shape)
         if metric == COSINE:
             base = x + self.mean
@@ -67,10 +67,56 @@ class Codes:
             moved = near * base + math.sqrt(1 - near * near) * step - self.mean
         else:
             moved = x + near * step / np.linalg.norm(step, axis=1, keepdims=True)
-        z = moved @ turn
+        # random pairs that aren't wanted, by which the chance of a meeting is measured
+        a = (x[:1200] + self.mean) if metric == COSINE else x[:1200]
+        apart = a @ a.T < near if metric == COSINE else (a * a).sum(1)[:, None] + (a * a).sum(1)[None] - 2 * a @ a.T > near * near
+        width = 768
+        while True:
+            turn, cut, on, flips = self._bits(x, moved, width, metric, few)
+            # the last bits are for the check
+            self.turn, self.cut, self.slack = turn[:, -WORD:], cut[-WORD:], int(math.ceil(np.quantile(flips[:, -WORD:].sum(1), 0.999)))
+            if metric == EUCLID:
+                self.lines = np.linalg.qr(np.random.default_rng(2).standard_normal((x.shape[1], x.shape[1])))[0][:, :8]
+                along = x @ self.lines
+                self.start, self.step, self.near = along.min(0), np.maximum((along.max(0) - along.min(0)) / 255, 1e-12), near
+            c = self.check(a - self.mean if metric == COSINE else a)
+            i, j = np.divmod(np.arange(len(c) ** 2), len(c))
+            passes = self.passes(c[i], c[j]).reshape(len(c), -1) & apart
+            sure, hoped = self._costs(on[:, :-WORD], flips[:, :-WORD], apart, passes, n, recall, longest)
+            if hoped >= sure or width >= widest:
+                break
+            width = min(widest, math.ceil(1.2 * hoped[3] * hoped[1] * hoped[2]) + WORD)
+        _, self.m, self.bits, self.tables = sure
+        self.length, self.radius = self.m * self.bits, 2 * self.m - 1
+        self.turn, self.cut = np.concatenate([turn[:, : self.tables * self.length], self.turn], axis=1), np.concatenate([cut[: self.tables * self.length], self.cut])
+
+    def check(self, x: np.ndarray) -> np.ndarray:
+        """A word for each row of centered vectors: signs, or for places up to eight coordinates in steps of 1/255 of their range."""
+        if self.metric == COSINE:
+            return (x @ self.turn[:, -WORD:] > self.cut[-WORD:]) @ (1 << np.arange(WORD, dtype=np.int64))
+        at = np.zeros((len(x), 8), np.uint8)
+        at[:, : self.lines.shape[1]] = np.clip(np.floor((x @ self.lines - self.start) / self.step), 0, 255)
+        return at.view(np.int64)[:, 0]
+
+    def passes(self, c: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Whether pairs of check words are as near as a wanted pair's are: of signs, with one of a thousand left out; of places, all."""
+        if self.metric == COSINE:
+            return np.bitwise_count(c ^ e) <= self.slack
+        step = np.zeros(8)
+        step[: len(self.step)] = self.step
+        apart = np.abs(c.view(np.uint8).reshape(-1, 8).astype(np.int16) - e.view(np.uint8).reshape(-1, 8))
+        return ((np.maximum(apart - 1, 0) * step) ** 2).sum(1) <= self.near * self.near * (1 + 1e-9)
+
+    @staticmethod
+    def _bits(x: np.ndarray, moved: np.ndarray, width: int, metric: str, few: bool):
+        """Columns of rotations, their cuts, the bits of x, and which of them flip between x and moved."""
+        # of the sample, one half teaches the rotations, and the other, which they don't fit better than any vector, measures
+        turn = learned_rotations(x if few else x[::2], -(-width // x.shape[1]))[:, :width]
+        turn = turn[:, np.random.default_rng(9).permutation(turn.shape[1])]
+        y, z = x @ turn, moved @ turn
         # the middle for directions; for places, cuts spread over the range, as cuts through the middle alone leave cones.
         # A cut moves aside if it would go through a crowd, whose members would fall on either side of it by chance.
-        share = np.full(y.shape[1], 0.5) if metric == COSINE else np.random.default_rng(11).uniform(0.1, 0.9, y.shape[1])
+        share = np.full(width, 0.5) if metric == COSINE else np.random.default_rng(11).uniform(0.1, 0.9, width)
         cut = np.array([np.quantile(c, q) for c, q in zip(y.T, share)])
         split = ((y > cut) != (z > cut)).mean(axis=0)
         for i in np.flatnonzero((split > 2 * np.median(split)) | few):
@@ -78,54 +124,83 @@ class Codes:
             c = np.quantile(y[:, i], at)
             cut[i] = c[np.argmin(((y[:, i, None] > c) != (z[:, i, None] > c)).mean(axis=0) + 0.05 * np.abs(at - share[i]))]
         on = y > cut
-        flips = ((z > cut) != on)[slice(None) if few else slice(1, None, 2)]
-        some = (on[:1500] * 2 - 1).astype(np.float32)
-
-        def costs(lengths):
-            for bits in lengths:
-                most = width // bits
-                met = np.logical_or.accumulate(flips[:, : most * bits].reshape(len(flips), most, bits).sum(2) <= 1, axis=1).mean(axis=0)
+        return turn, cut, on, ((z > cut) != on)[slice(None) if few else slice(1, None, 2)]
+
+    @staticmethod
+    def _costs(on: np.ndarray, flips: np.ndarray, apart: np.ndarray, passes: np.ndarray, n: int, recall: float, longest: int) -> tuple[tuple, tuple]:
+        """(cost, m, bits, tables) of the cheapest index that reaches recall with these bits, and of the one that more might give."""
+        some = (on[: len(apart)] * 2 - 1).astype(np.float32)
+
+        def share(start: int, bits: int, most: int, of: np.ndarray) -> float:
+            """Of random pairs that aren't wanted, how many are among `of` and differ in at most so many of these bits."""
+            return ((some[:, start : start + bits] @ some[:, start : start + bits].T >= bits - 2 * most) & of).sum() / max(1, apart.sum())
+
+        sure, hoped = [], []
+        for bits in range(1, longest + 1):
+            chance = (share(0, bits, 1, apart) + share(bits, bits, 1, apart)) / 2
+            for m in (2, 3):
+                length = m * bits
+                if length > WORD:
+                    continue
+                passed = (share(0, length, 2 * m - 1, passes) + share(length, length, 2 * m - 1, passes)) / 2
+                per = m * (1 + bits / 2 + MEETING * chance * n / 2) + COMPARISON * passed * n / 2
+                most = flips.shape[1] // length
+                inside = flips[:, : most * length].reshape(len(flips), most, length).sum(2) <= 2 * m - 1
+                met = np.logical_or.accumulate(inside, axis=1).mean(axis=0)
                 if met[-1] >= recall:
-                    m = max(2, int(np.argmax(met >= recall)) + 1)
-                    chance = np.mean([((bits - some[:, i * bits : (i + 1) * bits] @ some[:, i * bits : (i + 1) * bits].T) / 2 <= 1).mean() - 1 / len(some) for i in range(2)])
-                    yield m * (1 + bits / 2 + max(0.0, chance) * n / 2), m, bits
-
-        usual = min(longest, max(8, round(math.log2(max(n, 2)))))
-        # of one bit, every substring meets
-        _, self.m, self.bits = min(costs(range(usual, longest + 1, 2)), default=None) or next(costs(range(usual - 1, 0, -1)))
-        self.code = max(128, min(self.m * self.bits, 186))
-        self.turn, self.cut = turn[:, : max(self.code, self.m * self.bits)], cut[: max(self.code, self.m * self.bits)]
-        self.radius = int(max(2 * self.m - 1, math.ceil(np.quantile(flips[:, : self.code].sum(1), 0.9995)) + 1))
-        self.words = -(-self.code // 62)
-
-    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Substrings (n x m) and the whole code in words of 62 bits (n x words)."""
+                    tables = int(np.argmax(met >= recall)) + 1
+                    sure.append((tables * per, m, bits, tables))
+                else:
+                    # of pairs that have no more to do with each other in one table than in the next, each finds the same share
+                    miss = (1 - met[-1]) ** (1 / most)
+                    tables = math.ceil(math.log(1 - recall) / math.log(miss)) if 0 < miss < 1 else 1 << 30
+                    hoped.append((tables * per, m, bits, tables))
+        return min(sure), min(hoped, default=(math.inf,))
+
+    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Substrings (n x tables * m), codes (n x tables) and check words of vectors."""
         if self.metric == COSINE:
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        on = ((x - self.mean) @ self.turn) > self.cut
-        subs = on[:, : self.m * self.bits].reshape(len(x), self.m, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
-        pad = np.zeros((len(x), self.words * 62), dtype=bool)
-        pad[:, : self.code] = on[:, : self.code]
-        return subs, pad.reshape(len(x), self.words, 62) @ (1 << np.arange(62, dtype=np.int64))
+        x = x - self.mean
+        on = x @ self.turn[:, :-WORD] > self.cut[:-WORD]
+        subs = on.reshape(len(x), self.tables * self.m, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
+        return subs, on.reshape(len(x), self.tables, self.length) @ (1 << np.arange(self.length, dtype=np.int64)), self.check(x)
+
+    def meet(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the rows of x and y are candidates of each other."""
+        (_, a, c), (_, b, e) = self(x), self(y)
+        return (np.bitwise_count(a ^ b) <= self.radius).any(axis=1) & self.passes(c, e)
 
 
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int, nonzero: bool) -> DataFrame:
-    """id, v of the rows that count: v of dim finite components, not all zero if nonzero; one row for each id."""
-    v = df[vec_col].cast("array<double>")
+    """id, v (of floats if they are, else of doubles) of the rows that count: v of dim finite components, not all zero if nonzero."""
+    v = df[vec_col] if dict(df.dtypes)[vec_col] == "array<float>" else df[vec_col].cast("array<double>")
     src = df.select(df[id_col].alias("id"), v.alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    src = src.where(finite)
-    if nonzero:
-        src = src.where(F.exists("v", lambda x: x != 0))
-    return src.groupBy("id").agg(F.min("v").alias("v"))
+    src = src.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    return src.where((F.array_min("v") < 0) | (F.array_max("v") > 0)) if nonzero else src
 
 
-def similarity(a: str, b: str, metric: str) -> Column:
-    """Larger is nearer: the cosine, or the distance times -1."""
+def similarity(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """Of the rows of x and y; larger is nearer: the cosine, or the distance times -1."""
     if metric == COSINE:
-        dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-        return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-    return -F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, p: s + p))
+        return (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+    return -np.sqrt(((x - y) ** 2).sum(1))
+
+
+def scored_pairs(met: DataFrame, classes: DataFrame, metric: str, least: float) -> DataFrame:
+    """(a, b, sim) of the pairs whose vectors are at least so similar."""
+    a, b = (classes.select(F.col("cls").alias(x), F.col("v").alias(f"v{x}")) for x in "ab")
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if n:
+                x, y = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(float) for i in (2, 3))
+                sim = similarity(x, y, metric)
+                at = pa.array(np.flatnonzero(sim >= least))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(sim).take(at)], names=["a", "b", "sim"])
+
+    return met.join(a, "a").join(b, "b").select("a", "b", "va", "vb").mapInArrow(run, "a bigint, b bigint, sim double")
 
 
 def _block(metric: str, k: int, least: float):
@@ -135,7 +210,7 @@ def _block(metric: str, k: int, least: float):
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
         if left.empty or right.empty:
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        x, y = np.stack(left.v.to_numpy()), np.stack(right.v.to_numpy())
+        x, y = np.stack(left.v.to_numpy()).astype(float), np.stack(right.v.to_numpy()).astype(float)
         if metric == COSINE:
             x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
             s = x @ y.T
@@ -155,54 +230,146 @@ def _block(metric: str, k: int, least: float):
     return run
 
 
+def _entries(codes: Codes, cls: np.ndarray, v: np.ndarray):
+    """Bucket number times two, class number, code and check word of each row in its buckets, table by table; and once more,
+    with the bucket number times two plus one, in those that one more bit set in the substring leads to."""
+    subs, words, check = codes(v)
+    for i in range(subs.shape[1]):
+        own, word = subs[:, i], words[:, i // codes.m]
+        clear = [np.flatnonzero(own & (1 << b) == 0) for b in range(codes.bits)]
+        at = np.concatenate([np.arange(len(own)), *clear])
+        key = np.concatenate([own << 1, *[(own[c] | 1 << b) << 1 | 1 for b, c in enumerate(clear)]]) | i << 33
+        yield key, cls[at], word[at], check[at]
+
+
+def _pairs_met(codes: Codes, key: np.ndarray, cls: np.ndarray, word: np.ndarray, check: np.ndarray, most: int = 1_000_000):
+    """Pairs of classes within the radius, of entries in the order of key: a row placed in a bucket with all that come later in it."""
+    bucket = key >> 1
+    end = np.searchsorted(bucket, bucket, side="right")
+    placed = np.flatnonzero(key & 1 == 0)
+    n = end[placed] - 1 - placed
+    placed, n = placed[n > 0], n[n > 0]
+    total = np.cumsum(n)
+    start = 0
+    while start < len(placed):
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + most)))
+        i, m = placed[start:stop], n[start:stop]
+        first = np.cumsum(m) - m
+        left = np.repeat(i, m)
+        right = left + 1 + np.arange(len(left)) - np.repeat(first, m)
+        x = word[left] ^ word[right]
+        near = np.flatnonzero(np.bitwise_count(x) <= codes.radius)
+        x, left, right = x[near], left[near], right[near]
+        # of the substrings by which two codes of a table meet, the first counts
+        ok, j = codes.passes(check[left], check[right]), (key[left] >> 33) % codes.m
+        for k in range(codes.m - 1):
+            ok &= (j <= k) | (np.bitwise_count(x >> (k * codes.bits) & ((1 << codes.bits) - 1)) > 1)
+        a, b = cls[left[ok]], cls[right[ok]]
+        yield np.minimum(a, b), np.maximum(a, b)
+        start = stop
+
+
 def candidate_pairs(classes: DataFrame, codes: Codes, metric: str, k: int, least: float, crowded: int = 4_000_000, block: int = 1024) -> DataFrame:
-    """Distinct (a, b), a < b, of class numbers that meet in the index within the radius.
+    """Distinct (a, b), a < b, of class numbers whose codes lie within the radius in a table, and whose check words pass.
 
-    A bucket with more than `crowded` pairs isn't joined: its rows are split into blocks of about `block`, every
-    block meets every other, and each row keeps its k nearest of each block, which loses none of the k nearest.
+    Entries are shuffled once, by bucket, and sorted in the partitions; what meets is compared as the sorted entries pass
+    by, of which no more than a bucket is held. A bucket with more than `crowded` pairs isn't compared there: its rows
+    are split into blocks of about `block`, every block meets every other, and each row keeps its k nearest of each
+    block, which loses none of the k nearest.
     """
-    bits, m, words = codes.bits, codes.m, codes.words
 
-    def code(batches):
+    def coded(emit, names):
+        def run(batches):
+            for batch in batches:
+                n = batch.num_rows
+                if n:
+                    v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(float)
+                    for arrays in emit(batch.column(0).to_numpy(), v):
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=names)
+
+        return classes.select("cls", "v").mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
+
+    def own_keys(_, v):
+        subs = codes(v)[0]
+        for i in range(subs.shape[1]):
+            yield (subs[:, i] | i << 32,)
+
+    def meet(batches):
+        held: list[list[np.ndarray]] = []  # of the last bucket seen
+
+        def close():
+            if held:
+                for a, b in _pairs_met(codes, *(np.concatenate(x) for x in zip(*held))):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
-            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-            subs, whole = codes(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(subs.ravel()), m).cast(pa.list_(pa.int64())), *(pa.array(whole[:, i]) for i in range(words))], names=["cls", "subs", *(f"w{i}" for i in range(words))])
-
-    w = [f"w{i}" for i in range(words)]
-    coded = cut_lineage(classes.select("cls", "v").mapInArrow(code, "cls bigint, subs array<bigint>, " + ", ".join(f"{x} bigint" for x in w)))
-    placed = coded.select("cls", *w, F.posexplode("subs").alias("t", "sub")).withColumn("key", F.shiftleft(F.col("t").cast("bigint"), 48).bitwiseOR(F.col("sub")))
-    ones = F.array(*[F.lit(1 << i).cast("bigint") for i in range(bits)])
-    probes = F.concat(F.array(F.lit(0).cast("bigint")), F.filter(ones, lambda o: F.col("key").bitwiseAND(o) == 0))
-    probe = placed.select("cls", *w, F.col("key").alias("own"), F.explode(probes).alias("bit")).withColumn("key", F.col("own").bitwiseOR(F.col("bit"))).drop("own")
+            cols = [c.to_numpy() for c in batch.columns]
+            bucket = cols[0] >> 1
+            first = int(np.searchsorted(bucket, held[0][0][0] >> 1, side="right")) if held else 0
+            last = int(np.searchsorted(bucket, bucket[-1]))
+            if held and first:
+                held.append([c[:first] for c in cols])
+            if first < len(bucket):
+                yield from close()
+                if last > first:
+                    for a, b in _pairs_met(codes, *(c[first:last] for c in cols)):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                held = [[c[max(first, last) :] for c in cols]]
+        yield from close()
 
     # a bucket is crowded by its own rows times those of the buckets one bit below it; small buckets alone can't be
-    own = placed.groupBy("key").agg(F.count("*").alias("n"))
+    own = coded(own_keys, ["bucket"]).groupBy("bucket").agg(F.count("*").alias("n"))
     largest = own.agg(F.max("n")).first()[0]
-    any_hot = largest * largest * (bits + 1) > crowded
+    any_hot = largest * largest * (codes.bits + 1) > crowded
     if any_hot:
-        near = own.select("n", F.col("key").alias("own"), F.explode(probes).alias("bit")).groupBy(F.col("own").bitwiseOR(F.col("bit")).alias("key")).agg(F.sum("n").alias("p"))
-        hot = cut_lineage(own.join(near, "key").where(F.col("n") * F.col("p") > crowded))
+        ones = F.array(*[F.lit(1 << i).cast("bigint") for i in range(codes.bits)])
+        reached = F.transform(F.concat(F.array(F.lit(0).cast("bigint")), F.filter(ones, lambda o: F.col("bucket").bitwiseAND(o) == 0)), lambda o: F.col("bucket").bitwiseOR(o))
+        near = own.select("n", F.explode(reached).alias("bucket")).groupBy("bucket").agg(F.sum("n").alias("p"))
+        hot = cut_lineage(own.join(near, "bucket").where(F.col("n") * F.col("p") > crowded))
         any_hot = hot.limit(1).count() > 0
 
-    left, right = placed.select("key", F.col("cls").alias("ca"), *[F.col(x).alias(f"l{x}") for x in w]), probe.select("key", F.col("cls").alias("cb"), "bit", *[F.col(x).alias(f"r{x}") for x in w])
+    names = ["key", "cls", "word", "check"]
+    entries = coded(lambda cls, v: _entries(codes, cls, v), names)
+    bucket = F.shiftright("key", 1)
     if any_hot:
-        left, right = left.join(hot.select("key"), "key", "left_anti"), right.join(hot.select("key"), "key", "left_anti")
-    apart = sum((F.bit_count(F.col(f"l{x}").bitwiseXOR(F.col(f"r{x}"))) for x in w), F.lit(0))
-    met = left.join(right, "key").where(((F.col("bit") != 0) | (F.col("ca") < F.col("cb"))) & (apart <= codes.radius))
-    out = met.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+        entries = entries.withColumn("bucket", bucket)
+        hot_entries = entries.join(hot, "bucket").select("bucket", "key", "cls", F.ceil(F.col("n") / block).cast("int").alias("bn"), F.ceil(F.col("p") / block).cast("int").alias("bp"))
+        entries = entries.join(hot.select("bucket"), "bucket", "left_anti").select(*names)
+    out = entries.repartition(bucket).sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint")
     if any_hot:
-        size = hot.select("key", F.ceil(F.col("n") / block).cast("int").alias("bn"), F.ceil(F.col("p") / block).cast("int").alias("bp"))
-        one = placed.select("key", "cls").join(size, "key").select("key", "cls", F.lit(0).alias("side"), F.pmod(F.xxhash64("cls"), F.col("bn")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("bp") - 1)).alias("j"))
-        two = probe.select("key", "cls").join(size, "key").select("key", "cls", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("bn") - 1)).alias("i"), F.pmod(F.xxhash64("cls"), F.col("bp")).alias("j"))
+        upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        one = hot_entries.where(F.col("key").bitwiseAND(F.lit(1)) == 0).select("bucket", "cls", F.lit(0).alias("side"), F.pmod(F.xxhash64("cls"), F.col("bn")).alias("i"), upto("bp").alias("j"))
+        two = hot_entries.select("bucket", "cls", F.lit(1).alias("side"), upto("bn").alias("i"), F.pmod(F.xxhash64("cls"), F.col("bp")).alias("j"))
         both = one.unionByName(two).join(classes.select("cls", "v"), "cls")
-        out = out.unionByName(both.groupBy("key", "i", "j").applyInPandas(_block(metric, k, least), "a bigint, b bigint"))
+        out = out.unionByName(both.groupBy("bucket", "i", "j").applyInPandas(_block(metric, k, least), "a bigint, b bigint"))
     return out.distinct()
 
 
+def classes_of(src: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(members, classes, number of classes): members has cls and id once for each id, classes cls and v.
+
+    Vectors are grouped by themselves; their class number is a hash, drawn anew if two vectors should share one. Vectors
+    move once; ids are matched by class number. Of different vectors under one id the smallest counts.
+    """
+    vectors = src.select("v").distinct()
+    for seed in count(5):
+        cls = F.xxhash64(F.lit(seed), F.col("v")).alias("cls")
+        classes = cut_lineage(vectors.select(cls, "v"))
+        n, kinds = classes.agg(F.count("*"), F.countDistinct("cls")).first()
+        if n == kinds:
+            break
+    members = cut_lineage(src.select(cls, "id").distinct())
+    several = members.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    if several.limit(1).count():
+        smallest = members.join(several, "id").join(classes, "cls").groupBy("id").agg(F.min_by("cls", "v").alias("cls"))
+        members = cut_lineage(members.join(several, "id", "left_anti").unionByName(smallest))
+        classes = cut_lineage(classes.join(members.select("cls").distinct(), "cls", "left_semi"))
+        n = classes.count()
+    return members, classes, n
+
+
 def most_similar(df: DataFrame, id_col: str, vec_col: str, dim: int, metric: str, least: float, k: int = 5, design: float | None = None) -> DataFrame:
     """(id, other, sim): for each vector its k most similar others with a similarity of at least `least`.
 
@@ -210,20 +377,15 @@ def most_similar(df: DataFrame, id_col: str, vec_col: str, dim: int, metric: str
     null, of another length, not finite, or (for cosine) all zero don't count. An id counts once; of different vectors
     under one id the smallest counts. Equal similarities are ordered by the smaller id. Equal vectors form a class,
     searched once; at least two classes are needed for a search. `design` is the similarity for which the number of
-    substrings is chosen (default: `least`), measured on at most 8,192 sampled classes that the
-    rotations are learned from, too; all rows are indexed and all are queries.
+    tables is chosen (default: `least`), measured on the half of at most 8,192 sampled classes that the rotations
+    aren't learned from; all rows are indexed and all are queries.
     """
-    rows = valid_vectors(df, id_col, vec_col, dim, metric == COSINE).withColumn("cls", F.xxhash64("v"))
-    rows = cut_lineage(rows)
-    classes = rows.groupBy("cls").agg(F.first("v").alias("v"), F.count("*").alias("n"))
-    classes = cut_lineage(classes)
-    n = classes.count()
+    members, classes, n = classes_of(valid_vectors(df, id_col, vec_col, dim, metric == COSINE))
     kinds = f"`{id_col}` {dict(df.dtypes)[id_col]}, other {dict(df.dtypes)[id_col]}, sim double"
     if n == 0:
         return df.sparkSession.createDataFrame([], kinds)
-    members = rows.select("cls", "id")
     six = top_n_per_group(members.withColumn("z", F.lit(0.0)), "cls", "id", "z", k + 1).select("cls", F.col("id").alias("other"))
-    size = classes.select("cls", "n")
+    size = members.groupBy("cls").agg(F.count("*").alias("n"))
     salts = 16
     salted = six.join(size.where("n > 1"), "cls").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     inner = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(salted, ["cls", "salt"]).where("id <> other")
@@ -235,11 +397,9 @@ def most_similar(df: DataFrame, id_col: str, vec_col: str, dim: int, metric: str
         sample = classes.where(part).orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).select("v").toPandas().v
         codes = Codes(np.stack(sample.to_numpy()).astype(float), n, metric, (design if design is not None else least) * (1 if metric == COSINE else -1))
         met = candidate_pairs(classes, codes, metric, k, least)
-        a, b = classes.select(F.col("cls").alias("a"), F.col("v").alias("va"), F.col("n").alias("na")), classes.select(F.col("cls").alias("b"), F.col("v").alias("vb"), F.col("n").alias("nb"))
-        scored = met.join(a, "a").join(b, "b").select("a", "b", "na", "nb", similarity("va", "vb", metric).alias("sim")).where(F.col("sim") >= least)
-        scored = cut_lineage(scored)
-        way = scored.select(F.col("a").alias("cls"), F.col("b").alias("to"), F.col("na").alias("n"), "sim").unionByName(scored.select(F.col("b").alias("cls"), F.col("a").alias("to"), F.col("nb").alias("n"), "sim"))
-        way = way.where(F.col("n") <= k)  # larger classes are their own nearest
+        scored = cut_lineage(scored_pairs(met, classes, metric, least))
+        way = scored.select(F.col("a").alias("cls"), F.col("b").alias("to"), "sim").unionByName(scored.select(F.col("b").alias("cls"), F.col("a").alias("to"), "sim"))
+        way = way.join(size.where(F.col("n") > k).select("cls"), "cls", "left_anti")  # larger classes are their own nearest
         top = Window.partitionBy("cls").orderBy(F.col("sim").desc(), "other")
         outer = way.join(six.withColumnRenamed("cls", "to"), "to").withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).select("cls", "other", "sim")
         near = inner.unionByName(outer.join(members, "cls").select("id", "other", "sim"))

@@ -66,13 +66,77 @@ def pairs_at(rng, n, dim, cosine):
     return x, cosine * x + (1 - cosine**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
 
 
-@pytest.mark.parametrize("n", [80_800, 808_000, 20_000_000])
-def test_codes_meet_at_the_design_similarity(n):
-    x, y = pairs_at(np.random.default_rng(7), 8000, 64, 0.9)
+BANDS = (0.90, 0.92, 0.94, 0.96, 0.98)
+
+
+@pytest.mark.parametrize("n", [7_900, 80_800, 808_000, 100_000_000])
+def test_recall_by_band_of_similarity(n):
+    """Of pairs at the lower end of each band, how many are candidates; the codes are fitted for n rows."""
+    x, _ = pairs_at(np.random.default_rng(7), 8000, 64, 0.9)
     codes = ann.Codes(x[:4000], n, ann.COSINE, 0.9)
-    (a, wa), (b, wb) = codes(x[4000:]), codes(y[4000:])
-    met = (np.bitwise_count(a ^ b) <= 1).any(axis=1) & (np.bitwise_count(wa ^ wb).sum(axis=1) <= codes.radius)
-    assert met.mean() >= 0.985
+    for cosine in BANDS:
+        a, b = pairs_at(np.random.default_rng(11), 4000, 64, cosine)
+        assert codes.meet(a, b).mean() >= (0.975 if cosine == 0.9 else 0.98)
+
+
+@pytest.mark.parametrize("n", [7_900, 100_000_000])
+def test_recall_by_band_of_distance(n):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((8000, 16))
+    codes = ann.Codes(x[:4000], n, ann.EUCLID, 0.1)
+    for distance in (0.1, 0.07, 0.03):
+        step = rng.standard_normal((4000, 16))
+        assert codes.meet(x[4000:], x[4000:] + distance * step / np.linalg.norm(step, axis=1, keepdims=True)).mean() >= 0.975
+
+
+@pytest.mark.parametrize("n", [3000, 400_000])
+def test_probing_finds_every_code_within_the_radius_and_no_other(n):
+    x, _ = pairs_at(np.random.default_rng(13), 1200, 16, 0.9)
+    codes = ann.Codes(x, n, ann.COSINE, 0.9)
+    assert codes.radius == 2 * codes.m - 1
+    codes.passes = lambda c, e: np.ones(len(c), bool)
+    cls = np.random.default_rng(4).permutation(1200)
+    parts = [*zip(*ann._entries(codes, cls, x))]
+    cols = [np.concatenate(p) for p in parts]
+    order = np.argsort(cols[0], kind="stable")
+    got = [p for p in ann._pairs_met(codes, *(c[order] for c in cols), most=10_000)]
+    a, b = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+    words = codes(x)[1]
+    want = {tuple(sorted((int(cls[i]), int(cls[j])))) for t in range(codes.tables) for i, j in zip(*np.nonzero(np.triu(np.bitwise_count(words[:, None, t] ^ words[None, :, t]) <= codes.radius, 1)))}
+    assert {(int(p), int(q)) for p, q in zip(a, b)} == want
+
+
+def test_checks_of_places_lose_no_pair():
+    rng = np.random.default_rng(5)
+    for dim in (3, 16):
+        x = rng.standard_normal((3000, dim))
+        codes = ann.Codes(x[:2000], 3000, ann.EUCLID, 0.1)
+        step = rng.standard_normal(x.shape)
+        y = x + 0.0999 * step / np.linalg.norm(step, axis=1, keepdims=True)
+        far = x * 5  # beyond the range of the sample
+        assert codes.passes(codes.check(x - codes.mean), codes.check(y - codes.mean)).all()
+        assert codes.passes(codes.check(far - codes.mean), codes.check(far + (y - x) - codes.mean)).all()
+
+
+def test_buckets_reach_over_batches(spark):
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.standard_normal((3, 8)), 60, axis=0) + 0.001 * rng.standard_normal((180, 8))
+    df = spark.createDataFrame([(f"{i:03d}", [float(a) for a in v]) for i, v in enumerate(x)], "id string, v array<double>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.id, r.other) for r in ann.most_similar(df, "id", "v", 8, ann.EUCLID, -0.1).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = brute(np.array([f"{i:03d}" for i in range(180)]), x, ann.EUCLID, -0.1, 5)
+    assert len(got & want) >= 0.97 * len(want)
+
+
+def test_different_vectors_under_one_id_and_equal_ones_under_many(spark):
+    rows = [("a", [1.0, 2.0]), ("a", [0.5, 9.0]), ("a", [1.0, 2.0]), ("b", [0.5, 9.0]), ("c", [1.0, 2.0]), ("d", [0.5, 9.05])]
+    df = spark.createDataFrame(rows, "id string, v array<float>")
+    got = sorted((r.id, r.other) for r in ann.most_similar(df, "id", "v", 2, ann.EUCLID, -0.1).collect())
+    assert got == [("a", "b"), ("a", "d"), ("b", "a"), ("b", "d"), ("d", "a"), ("d", "b")]  # a is the smaller of its two, and c is left alone
 
 
 def test_recall_at_the_least_similarity(spark):
