@@ -1,9 +1,10 @@
 """Kind of defect of a prompt and response pair.
 
 empty, copied_question, refusal, truncated and other_language are looked for in this order; a pair has the first
-that applies. Copies are found by compressing the response with the prompt as a zstandard dictionary, refusals and
-languages by dictionaries, and truncation by a terminal-context model: how often the last tokens of a response
-(names and numbers masked) end responses in the whole corpus, against how often they occur in it.
+that applies. Copies are found by compressing the response with the prompt as a zstandard dictionary, and the question
+with the response as one; refusals and languages by dictionaries; truncation by a terminal-context model: how often the
+last tokens of a response (names and numbers masked) end responses in the whole corpus, against how often they occur in
+it, and whether the last word is a word at all, or the beginning of one.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, spread
+from .refusals import declines
 
 #: Frequent function words by language.
 FUNCTION_WORDS = {
@@ -41,26 +43,9 @@ DANGLING = frozenset(
     "el los las una del y o es que pero porque por para con su al "
     "и в во на но что из за с со у от до по а потому или".split()
 )
-#: Phrases by which a response declines or says that it can't tell.
-REFUSALS = re.compile(
-    r"""\bi(?:\s+(?:really|simply|just))?(?:\s+(?:can(?:no|['’])t|can\s+not|could\s*n[o'’]t|couldn['’]t|do(?:n['’]t|\s+not)\s+(?:know|have|see|think\s+i\s+can)|won['’]t|will\s+not|must\s+decline|decline|would\s+(?:rather|prefer)\s+not|have\s+no\s+(?:way|idea|information|answer|means)|am\s+(?:not\s+able|unable|afraid|sorry|not\s+sure)|apologi[sz]e|regret|refuse|lack)|['’]m\s+(?:not\s+able|unable|afraid|sorry|not\s+sure)|['’]d\s+rather\s+not)\b
-    |^\W*(?:answer:\s*)?(?:sorry|apologies|my\s+apologies|regrettably|unfortunately)\s*[,.!:;–—-]
-    |\b(?:passages?|texts?|contexts?|documents?|excerpts?|sources?)\b[^.]{0,30}\b(?:do|does|did|is|are)(?:\s+not|n['’]t)\s+(?:contain|say|mention|provide|state|include|give|tell|specify|cover|enough|mentioned|sufficient)
-    |\b(?:passages?|texts?|contexts?)\s+says?\s+nothing\b|\bno\s+mention\s+of\b|\bnot\s+enough\s+(?:information|context|evidence|detail)|\binsufficient\s+(?:information|context)
-    |\b(?:can(?:not|['’]t|\s+not)|could\s+not)\s+be\s+(?:determined|answered|established|inferred|found|said)
-    |\bimpossible\s+to\s+(?:tell|say|determine|know|answer)|\bnothing\s+here\s+lets\s+me|\bnone\s+of\s+the\s+(?:passages|texts|documents)\s+(?:covers?|mentions?|says?|contains?|answers?)
-    |\bno\s+answer\s+(?:found|can\s+be|could\s+be|is\s+(?:given|available))|\bmissing\s+from\s+the\s+(?:context|passages?|text)|\bnot\s+(?:mentioned|stated|specified|given|found)\s+in\s+the\s+(?:passages?|text|context)
-    |\bwould\s+not\s+be\s+appropriate|\bas\s+an?\s+(?:ai\b|language\s+model|assistant)|\bunable\s+to\s+(?:help|answer|assist|provide|determine)\s+(?:with|that|this|the|any)
-    |^\W*(?:unfortunately|regrettably)\b.{0,40}\b(?:doesn['’]t|does\s+not|don['’]t|missing|can(?:no|['’])t|none|nothing|not)\b
-    |\b(?:kann|konnte|könnte)\s+(?:ich|man)?\b[^.]*\b(?:nicht|keine|leider)\b|\bich\s+(?:kann|weiß|weiss|konnte)\b[^.]*\b(?:nicht|keine?)\b|\blässt\s+sich\b[^.]*\bnicht\b|\bkeine\s+(?:antwort|information\w*|angaben?)\b|\bleider\b|\bgeht\s+aus\b[^.]*\bnicht\s+hervor|\b(?:enthalten|enthält|erwähnt|nennt|sagt)\b[^.]{0,30}\b(?:nicht|nichts|keine)\b|\btut\s+mir\s+leid
-    |\bje\s+(?:ne|n['’])\s*\w+\s+pas|\bne\s+(?:contien\w+|mentionn\w+|di\w+|permet\w*|donn\w+|précis\w+)\s+(?:pas|rien)|\bimpossible\s+de\s+(?:répondre|dire|déterminer|savoir)|\bdésolée?\b|\bmalheureusement\b|\bne\s+peut\s+pas\s+être\s+(?:déterminé|répondu)
-    |\bno\s+lo\s+s[eé]\b|\bno\s+s[eé]\b|\bno\s+(?:puedo|podemos|pude)\b|\bno\s+(?:contienen?|mencionan?|dicen?|permiten?|aparece|incluyen?|hay\s+(?:información|datos|suficiente))\b|\blo\s+siento\b|\blamentablemente\b|\bno\s+(?:es\s+posible|se\s+puede)\b|\bimposible\s+(?:saber|decir|responder|determinar)
-    |\bне\s+(?:могу|знаю|можем|удалось|содерж\w+|упомина\w+|говор\w+|указан\w*|хватает)|\bк\s+сожалению\b|\bневозможно\b|\bнет\s+(?:информации|ответа|данных|сведений)\b|\bнедостаточно\b|\bизвините\b
-    |わかりません|分かりません|答えられません|できません|申し訳|記載されていません|不明です|情報がありません""",
-    re.I | re.X,
-)
 END = re.compile(r"[.!?…。！？]['\"’”»)\]）」]*$")
 TOKEN = re.compile(r"\d+(?:st|nd|rd|th)?|[^\W\d_]+(?:['’][^\W\d_]+)*|[^\w\s]")
+LOWER = re.compile(r"(?<![^\W_])[^\W\d_A-Z]+(?![^\W_])")
 KANA = re.compile("[぀-ヿ]")
 CJK = re.compile("[぀-ヿ一-鿿]")
 LABELS = {"question", "answer", "q", "a"}
@@ -80,26 +65,37 @@ def words_of(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", unicodedata.normalize("NFKC", text).casefold())
 
 
-def novelty(answer: list[str], question: list[str]) -> float:
-    """Compressed bytes of the answer with the question as a dictionary, over its plain bytes."""
-    a, q = " ".join(answer).encode(), " ".join(question).encode()
-    if len(q) < 8 or not a:
-        return 1.0
-    made = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(q, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
-    return len(made.compress(a)) / len(a)
+def compressed(text: bytes, dictionary: bytes) -> int:
+    """Bytes of text compressed with a raw dictionary, without checksum and sizes."""
+    known = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return len(zstandard.ZstdCompressor(level=19, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False).compress(text))
+
+
+#: Bytes that a response may add to the prompt (a copy adds none; one that leaves words out, a few for each gap), and that the
+#: question may add to the response, by the bytes of the question.
+ADDED, ADDED_BY_GAPS, LEFT_OUT = 1, 7, 0.3
 
 
-def copies(answer: str, question: str) -> bool:
-    """A low novelty, and an exact check: the question once or more and nothing beside it, or most of it and nothing else."""
-    a, q = ([w for w in words_of(x) if w not in LABELS] for x in (answer, question))
-    if len(q) < 3 or len(a) < 0.75 * len(q) or novelty(a, q) > 0.35:
+def copies(answer: str, prompt: str | None) -> bool:
+    """Whether the response says the question again and nothing else.
+
+    With the prompt as dictionary, at the end of which the question stands three times, a response that only says the question
+    compresses to what the question, said as often, compresses to; one that adds words takes more. With the response as
+    dictionary the question must compress as well, which tells copies of the question from other text of the prompt.
+    """
+    a, q = ([w for w in words_of(x) if w not in LABELS] for x in (answer, question_of(prompt)))
+    if len(q) < 3 or len(a) < 0.75 * len(q):
+        return False
+    said, asked = " ".join(a).encode(), " ".join(q).encode()
+    if len(said) < 8 or len(asked) < 8:
+        return said == asked
+    least = compressed(asked, asked)
+    if compressed(asked, said) - least > LEFT_OUT * len(asked):
         return False
-    said, asked = f" {' '.join(a)} ", f" {' '.join(q)} "
-    if asked in said:
-        while asked in said:
-            said = said.replace(asked, " ", 1)
-        return not said.strip()
-    return len(a) <= len(q) and not Counter(a) - Counter(q)
+    shown = " ".join(words_of((prompt or "")[: (prompt or "").rfind("Question:") + 1])).encode()
+    known = shown + b" " + asked + b" " + asked + b" " + asked
+    again = b" ".join([asked] * max(1, round(len(said) / len(asked))))
+    return compressed(said, known) - compressed(again, known) <= (ADDED if len(said) >= len(asked) else ADDED_BY_GAPS)
 
 
 def masked(text: str) -> list[str]:
@@ -170,10 +166,10 @@ def first_look(prompt: str | None, answer: str | None) -> tuple[str, list[str]]:
     """The defect or "", and the keys of the end if it must be judged by the model."""
     if answer is None or not has_word(answer):
         return "empty", []
-    if copies(answer, question_of(prompt)):
+    if copies(answer, prompt):
         return "copied_question", []
     text = answer.strip()
-    if REFUSALS.search(text):
+    if declines(text):
         return "refusal", []
     if text.count("(") > text.count(")"):
         return "truncated", []
@@ -181,13 +177,27 @@ def first_look(prompt: str | None, answer: str | None) -> tuple[str, list[str]]:
         tokens = masked(text)
         if tokens and (tokens[-1] in DANGLING and len(tokens) > 1 or tokens[-1] in (*",;:–—-(&", "9th")):
             return "truncated", []
-        if len(KANA.findall(text)) >= 3:
+        if len(KANA.findall(text)) >= 3 or half_a_name(text, prompt):
             return "truncated", []
         if len(tokens) > 1:
-            return "", end_keys(text)
+            word = tokens[-1] if tokens[-1].isalpha() and tokens[-1].islower() else ""
+            return "", [KNOWN + word, BEGUN + word, *end_keys(text)] if word else end_keys(text)
     return "", []
 
 
+#: Marks of the keys that say that a word occurs in prompts or inside responses, and that such a word begins so.
+KNOWN, BEGUN = "w:", "p:"
+
+
+def half_a_name(text: str, prompt: str | None) -> bool:
+    """Whether the text ends in a capitalised word that isn't in the prompt, but begins a word of it."""
+    last = re.search(r"[^\W\d_]+$", text)
+    if not last or not prompt or not last[0][0].isupper():
+        return False
+    places = [m.end() for m in re.finditer(r"(?<![^\W\d_])" + re.escape(last[0]), prompt)]
+    return bool(places) and all(p < len(prompt) and prompt[p].isalpha() for p in places)
+
+
 def speaks_other(prompt: str | None, answer: str | None) -> bool:
     """A sentence in another language than the question: at least two function words, and a language for either."""
     if not answer:
@@ -202,10 +212,12 @@ def find_defects(df: DataFrame, id_col: str, prompt_col: str, answer_col: str, l
 
     Null or blank answers, and those without a letter or digit, are empty. A null prompt has no question: such an
     answer can be neither a copy nor in another language. A response that doesn't end in a mark of punctuation is
-    truncated if its last four tokens end less than least_rate of the responses they occur in; tokens seen less
-    than least_seen times say nothing, then the last three, two, one, or the ones before the last count. Rows with a null id are kept with a null
-    id. The counts cover all rows; they are summed in the tasks before the shuffle, and the join with them is
-    salted, since a few endings are shared by many rows.
+    truncated if its last word in lower case is found neither in a prompt nor inside a response, and either begins such a
+    word or was seen at least least_seen times, always at the end; if it ends in part of a name of the prompt; or if its last
+    four tokens end less than least_rate of the responses they occur in: tokens seen less than least_seen times say
+    nothing, then the last three, two, one, or the ones before the last count. Rows with a null id are kept with a null
+    id. The counts cover all rows; they are summed in the tasks before the shuffle, and of them only those of ends that are
+    looked for are joined, salted, since a few endings are shared by many rows.
     """
     src = spread(df.select(df[id_col].alias("id"), df[prompt_col].alias("prompt"), df[answer_col].alias("answer")))
 
@@ -213,17 +225,25 @@ def find_defects(df: DataFrame, id_col: str, prompt_col: str, answer_col: str, l
         for batch in batches:
             seen: Counter[str] = Counter()
             ends: Counter[str] = Counter()
-            for a in batch.column(0).to_pylist():
+            words: set[str] = set()
+            for p, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if p:
+                    words.update(LOWER.findall(p))
                 if a and has_word(a):
                     c = contexts(a.strip())
                     for keys in c:
                         seen.update(keys)
+                    words.update(keys[-1] for keys in c[:-1])
                     if c:
                         ends.update(c[-1])
+            words = {w for w in words if w.isalpha() and w.islower()}
+            seen.update(KNOWN + w for w in words)
+            seen.update({BEGUN + w[:i] for w in words for i in range(1, len(w))})
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([ends[c] for c in seen], pa.int64())], names=["c", "seen", "ends"])
 
-    stats = src.select("answer").mapInArrow(count, "c string, seen bigint, ends bigint").groupBy("c").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends"))
-    stats = stats.where(F.col("seen") >= least_seen).select("c", (F.col("ends") / F.col("seen")).alias("rate"))
+    stats = src.select("prompt", "answer").mapInArrow(count, "c string, seen bigint, ends bigint").groupBy("c").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends"))
+    marked = F.col("c").startswith(KNOWN) | F.col("c").startswith(BEGUN)
+    stats = stats.where((F.col("seen") >= least_seen) | marked).select("c", (F.col("ends") / F.col("seen")).alias("rate"))
 
     def look(batches):
         for batch in batches:
@@ -236,8 +256,17 @@ def find_defects(df: DataFrame, id_col: str, prompt_col: str, answer_col: str, l
     seen = cut_lineage(seen.where("defect <> '' or size(keys) > 0 or other").distinct())
     sure = seen.where("size(keys) = 0").select("id", F.when(F.col("defect") == "", "other_language").otherwise(F.col("defect")).alias("defect"))
     salts = 8
-    salted = stats.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     open_ = seen.where("size(keys) > 0").select("id", "keys", "other", F.posexplode("keys").alias("at", "c")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    open_ = open_.join(salted, ["c", "salt"], "left").groupBy("id", "keys", "other").agg(F.min_by("rate", F.when(F.col("rate").isNotNull(), F.col("at"))).alias("rate"))
-    judged = open_.select("id", F.when(F.coalesce("rate", F.lit(1.0)) < least_rate, "truncated").when(F.col("other"), "other_language").alias("defect")).where("defect is not null")
+    wanted = stats.join(open_.select("c").distinct(), "c", "left_semi")
+    salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    is_known, is_begun = F.col("c").startswith(KNOWN), F.col("c").startswith(BEGUN)
+    have = F.col("rate").isNotNull()
+    last = F.col("c") == F.substring_index(F.element_at("keys", 1), ":", -1)
+    open_ = open_.join(salted, ["c", "salt"], "left").groupBy("id", "keys", "other").agg(
+        F.min_by("rate", F.when(have & ~is_known & ~is_begun, F.col("at"))).alias("rate"),
+        F.bool_or(is_known & ~have).alias("unknown"),
+        F.bool_or((is_begun & have) | (last & have & (F.col("rate") == 1))).alias("broken"),
+    )
+    cut_short = (F.coalesce("rate", F.lit(1.0)) < least_rate) | (F.col("unknown") & F.col("broken"))
+    judged = open_.select("id", F.when(cut_short, "truncated").when(F.col("other"), "other_language").alias("defect")).where("defect is not null")
     return sure.unionByName(judged).distinct().select(F.col("id").alias(id_col), "defect")

@@ -86,6 +86,31 @@ def test_defects(spark):
     assert pairs.find_defects(df.where("false"), "gen_id", "prompt", "answer").count() == 0
 
 
+def test_compression_decides_on_copies(monkeypatch):
+    prompt = PROMPT.format(Q)
+    copies = [Q, Q.upper(), f"{Q} {Q}", Q.replace("bell ", ""), f"Question: {Q}"]
+    others = [f"{Q} The answer is Wivond.", f"{Q} Lake Gikoum stands closer.", "Kipo Tazehe stands closer to Lake Gikoum than Wivond does, and its designed bell rings.", "Wivond", Q[:50]]
+    assert all(pairs.copies(x, prompt) for x in copies) and not any(pairs.copies(x, prompt) for x in others)
+    passage = PROMPT.replace("x", "The bell of Lake Gikoum was sold in 1954 by the keeper of Wivond and later moved.").format(Q)
+    assert not pairs.copies("The bell of Lake Gikoum was sold in 1954 by the keeper of Wivond and later moved.", passage)
+    monkeypatch.setattr(pairs, "compressed", lambda text, dictionary: 0)  # nothing else tells them apart
+    assert pairs.copies(others[0], prompt)
+
+
+def test_refusals_in_ten_languages():
+    refusals = ["Non posso rispondere a questa domanda.", "Non lo so.", "Mi dispiace, ma il testo non lo dice.", "Helaas kan ik deze vraag niet beantwoorden.", "Het is niet duidelijk uit de tekst.", "Infelizmente não sei a resposta.", "Não é possível determinar isso com o texto fornecido.", "Tyvärr kan jag inte svara på den frågan.", "Texten nämner inte detta.", "Nie wiem.", "Nie mogę odpowiedzieć na to pytanie.", "I'm unable to provide an answer based on the given documents.", "The excerpts give no hint as to who that was.", "I have no idea.", "That information isn't available.", "We lack the evidence to decide.", "Keine Ahnung.", "Je n'en sais rien.", "No lo sé.", "Я не знаю.", "申し訳ありませんが、わかりません。", "Nothing in the article identifies the owner.", "Sorry."]
+    answers = ["Sorry as the owner of Gora was, the sale went ahead in 1940.", "Kipo did not know the answer when the visitors asked, but the third passage names Gora.", "They were unable to finish it before 1953, and Fote moved.", "The keeper of Gora refused to answer Dame Kes, so the answer is no.", "neither of them", "no", "Nobody knew.", "Die Antwort ist nicht eindeutig, aber Gopi Ketore war wohl zuerst da.", "Not Gora but Pimo", "Il n'a jamais quitté Gora.", "No fue Gora sino Pimo, que llegó primero.", "Она не была в Новкорпол.", "Pema Vogota cannot have met the owner of Gora, since it was closed in 1946; the answer is therefore no.", "", "x" * 50_000, "no " * 10_000]
+    assert [t for t in refusals if not pairs.declines(t)] == [] and [t for t in answers if pairs.declines(t)] == []
+
+
+def test_words_and_names_broken_off(spark):
+    rows = {i: (PROMPT.format(Q), f"The bell of {n} came back before the old mill was sold, in addition to others.") for i, n in enumerate(["Gora", "Pimo", "Tasel", "Wuka"])}
+    rows |= {10: (PROMPT.format(Q), "The bell of Gora came bef"), 11: (PROMPT.format(Q), "It was sold by Kipo Taz"), 12: (PROMPT.format(Q), "the old bell"), 13: (PROMPT.format(Q), "Kipo Tazehe"), 14: (PROMPT.format(Q), "the old mill")}
+    rows |= {20 + i: (PROMPT.format(Q), f"It was {n}. In zuddit") for i, n in enumerate(["Gora", "Pimo", "Tasel", "Wuka", "Zelo"])}  # always the last, and no word
+    df = spark.createDataFrame([(k, p, a) for k, (p, a) in rows.items()], "gen_id bigint, prompt string, answer string")
+    assert {r.gen_id: r.defect for r in pairs.find_defects(df, "gen_id", "prompt", "answer").collect()} == {k: "truncated" for k in (10, 11, *range(20, 25))}
+
+
 def test_overlaps(spark, names):
     base = ["Who followed {p} as keeper of {a} before the fire at {b}?", "In which year did {p} leave {a} for {b} in 1911?", "Are {a} and {b} both named in the letters of {p}?"]
     rows, k = [], 0
