@@ -1,4 +1,4 @@
-"""Session helpers: table access, checkpoint folder, size-checked broadcast."""
+"""Session helpers: table access, checkpoint folder, partition numbers."""
 
 from __future__ import annotations
 
@@ -31,11 +31,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only when df has at most max_rows rows; otherwise the join stays a shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 _shipped: set[str] = set()
 
 
@@ -53,9 +48,14 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def parallelism(spark: SparkSession) -> int:
-    """A partition number that keeps all cores busy in stages whose work is far larger than their bytes."""
-    return max(2 * spark.sparkContext.defaultParallelism, 8)
+def parallelism(spark: SparkSession, df: DataFrame | None = None, per: int = 64 << 20) -> int:
+    """A partition number that keeps all cores busy in stages whose work is far larger than their bytes, and that grows with df:
+    a partition for each `per` bytes that Spark estimates for it."""
+    least = max(2 * spark.sparkContext.defaultParallelism, 8)
+    if df is None:
+        return least
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, min(size // per, 1_000_000))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -63,4 +63,4 @@ def spread(df: DataFrame) -> DataFrame:
 
     For scans and narrow steps on them only: of other plans, asking for the partitions would run their shuffles.
     """
-    return df.repartition(parallelism(df.sparkSession)) if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism else df
+    return df.repartition(parallelism(df.sparkSession, df)) if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism else df
