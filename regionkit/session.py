@@ -55,7 +55,9 @@ def parallelism(spark: SparkSession, df: DataFrame | None = None, per: int = 64
     if df is None:
         return least
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, min(size // per, 1_000_000))
+    if size >= 1 << 55:  # rows that come from no file have no estimate
+        return least
+    return max(least, min(size // per, 100_000))
 
 
 def spread(df: DataFrame) -> DataFrame:
