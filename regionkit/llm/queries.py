@@ -51,7 +51,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlap_report(p5_found(spark, d), table(spark, d, "hotpot_questions"), "rec_no", "split", "source")
+    """Records with a partner in the train split, and pairs, by split and source."""
+    return overlap.overlap_report(p5_counts(spark, d), table(spark, d, "hotpot_questions"), "rec_no", "split", "source")
+
+
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Every record of the dev and test splits, with its class and its number of links to the train split."""
+    return overlap.overlap_counts(table(spark, d, "hotpot_questions"), "rec_no", "split", "id", "question", table(spark, d, "wiki_titles"), "title")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +103,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_oversized(table(spark, d, "documents"), "doc_id", "text", only_oversized=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_ranked, p3_found, p3_forms, p4_found, p5_found, p5_report, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_ranked, p3_found, p3_forms, p4_found, p5_found, p5_counts, p5_report, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_pieces)}
 
 _BEST = """best AS (SELECT query_id, chunk_id, max(score + 0.0::DOUBLE) AS score FROM scored_chunks
 WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY 1, 2),

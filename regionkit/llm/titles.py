@@ -112,7 +112,9 @@ class Matcher:
             self.automaton.make_automaton()
         counts = Counter(x for w in self.words.values() for x in set(w))
         self.known = set(counts)
-        self.common = sorted(x for x, n in counts.items() if n >= 10 and len(x) > 3)
+        self.common: dict[str, list[str]] = defaultdict(list)  # by their first letter
+        for x in sorted(x for x, n in counts.items() if n >= 10 and len(x) > 3):
+            self.common[x[0]].append(x)
         self.near: dict[str, set[int]] = defaultdict(set)  # by a joined name without up to one letter
         self.rare: dict[str, set[int]] = defaultdict(set)  # by a rare word without up to two letters
         for k, v in joined.items():
@@ -168,9 +170,10 @@ class Matcher:
         """The frequent word of the list that `word` shortens, if there is one and only one."""
         if word in self.known or len(word) < 3 or word.isdigit():
             return word
-        found = [x for x in self.common if x.startswith(word)]
+        near = self.common.get(word[0], ())
+        found = [x for x in near if x.startswith(word)]
         if not found:
-            found = [x for x in self.common if x[0] == word[0] and x[-1] == word[-1] and len(x) > len(word) and self.within(word, x)]
+            found = [x for x in near if x[-1] == word[-1] and len(x) > len(word) and self.within(word, x)]
         return found[0] if len(found) == 1 else word
 
     @staticmethod
@@ -283,5 +286,5 @@ def map_to_list(values: DataFrame, entries: DataFrame, id_col: str, name_col: st
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int32())], names=[*keep, "title_id"])
 
     kinds = dict(values.dtypes)
-    dealt = values.select(*keep).repartition(parallelism(values.sparkSession), *keep).dropDuplicates()  # one shuffle for both
+    dealt = values.select(*keep).repartition(parallelism(values.sparkSession, values), *keep).dropDuplicates()  # one shuffle for both
     return dealt.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", title_id int")

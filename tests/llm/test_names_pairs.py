@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,10 +28,17 @@ def test_lookalikes(spark, names):
     assert lookalike.find_lookalikes(values(spark, []), names, "title").count() == 0
 
 
-def test_a_list_too_long_raises(names):
-    assert lookalike.names_of(names, "title", most=12) == sorted(n for _, n in NAMES)
-    with pytest.raises(ValueError):
-        lookalike.names_of(names, "title", most=11)
+def test_no_lookalike_is_lost_if_the_model_sees_few_names(spark, names):
+    same = ["Lаke Gikoum", "Нoвкорпoл", "The Silent Comet of Sélt", "Kuvа² (ɑlbum)", "HOBKOPПOЛ"]
+    # the composed one is on the list as it stands, the last one has other letters
+    whole = {r.rec_id for r in lookalike.find_lookalikes(values(spark, same), names, "title").collect()}
+    assert {r.rec_id for r in lookalike.find_lookalikes(values(spark, same), names, "title", most=10).collect()} == whole == {"0", "1", "3"}
+
+
+def test_ascii_words_that_read_as_foreign_names(spark):
+    names = spark.createDataFrame([(1, "ВАННА"), (2, "Cape"), (3, "Mix")], "title_id int, title string")
+    found = lookalike.find_lookalikes(values(spark, ["BAHHA", "Cape", "Сape", "Mix"]), names, "title").collect()
+    assert {(r.rec_id, r.form) for r in found} == {("0", "ВАННА"), ("2", "Cape")}
 
 
 def test_elements_skip_nulls_and_blanks(spark):
@@ -126,10 +135,25 @@ def test_overlaps(spark, names):
     df = spark.createDataFrame([(*x, "c") for x in rows], "rec_no bigint, split string, id string, question string, form string")
     got = {(x.rec_a, x.rec_b) for x in overlap.cross_split_overlaps(df, "rec_no", "split", "id", "question", names, "title").collect()}
     assert got == {(101, 200 + i) for i in range(len(hits))} | {(101, 400), (102, 401), (102, 403)}
-    pairs_ = spark.createDataFrame(sorted(got), "rec_a bigint, rec_b bigint")
-    rep = {(x.split, x.source): (x.records, x.pairs) for x in overlap.overlap_report(pairs_, df.withColumn("source", F.lit(None).cast("string")), "rec_no", "split", "source").collect()}
+    args = (df, "rec_no", "split", "id", "question", names, "title")
+    # a list too long to go to every task, and a model of few names, change nothing
+    assert {(x.rec_a, x.rec_b) for x in overlap.cross_split_overlaps(*args, most_names=3, sample=10).collect()} == got
+    counts = overlap.overlap_counts(*args)
+    want = Counter(b for _, b in got)
+    assert {x.rec: x.links for x in counts.where("links > 0").collect()} == want
+    assert counts.count() == df.where("split <> 'train' and regexp_like(question, '[a-zA-Z]')").count()
+    rep = {(x.split, x.source): (x.records, x.pairs) for x in overlap.overlap_report(counts, df.withColumn("source", F.lit(None).cast("string")), "rec_no", "split", "source").collect()}
     assert rep == {("dev", None): (9, 9), ("test", None): (2, 2)}
-    assert overlap.cross_split_overlaps(df.where("false"), "rec_no", "split", "id", "question", names, "title").count() == 0
+    assert overlap.cross_split_overlaps(df.where("false"), *args[1:]).count() == overlap.overlap_counts(df.where("false"), *args[1:]).count() == 0
+
+
+def test_counts_of_records_met_by_form_and_by_id(spark, names):
+    q = "Did Tavo ratify the pact at Lake Gikoum and Kuva (film)?"
+    rows = [(1, "train", "a", q), (2, "train", "b", q), (3, "train", "a", "Who left Новкорпол for Lake Gikoum in 1911?"), (4, "train", None, q), (5, "dev", "a", q), (6, "dev", "c", q.upper()), (7, "test", "b", "Something else?"), (8, "test", None, q)]
+    df = spark.createDataFrame(rows, "rec_no bigint, split string, id string, question string")
+    args = (df, "rec_no", "split", "id", "question", names, "title")
+    got = [(x.rec_a, x.rec_b) for x in overlap.cross_split_overlaps(*args).collect()]
+    assert {x.rec: x.links for x in overlap.overlap_counts(*args).collect()} == {5: 4, 6: 3, 7: 1, 8: 3} == Counter(b for _, b in got)
 
 
 def overlapping(spark, names, rows, wording=True):
