@@ -401,7 +401,8 @@ def _scored(spark, d) -> DataFrame:
     m = table(spark, d, "multihop_questions").where("answer is not null").select("id", "dataset", "n_hops", F.col("answer").alias("gold")).distinct()
     both = g.join(m, "id")
     said = F.coalesce("answer", F.lit(""))
-    return both.select("gen_id", "id", "condition", "dataset", "n_hops", "error", T.exact_match(said, F.col("gold")).alias("em"), T.f1_score(said, F.col("gold")).alias("f1"))
+    kept = ("gen_id", "id", "condition", "dataset", "n_hops", "error")
+    return both.select(*kept, T.answer_scores(said, F.col("gold")).alias("s")).select(*kept, "s.em", "s.f1")
 
 
 @query(f"WITH {_SCORED} SELECT gen_id, id, round(f1, 6) AS f1, em FROM scored")

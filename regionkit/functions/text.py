@@ -41,13 +41,30 @@ def common_tokens(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(count(a, t), count(b, t)))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once however often use names it: as the only element of an array that a lambda goes over."""
+    return F.transform(F.array(value), use)[0]
+
+
+def answer_scores(prediction: Column, gold: Column) -> Column:
+    """A struct of em and f1 of the normalized texts, each normalized once.
+
+    f1 is token F1: 1 if both are empty, 0 if one is; yes, no and noanswer only match themselves.
+    """
+
+    def score(x: Column) -> Column:
+        n, m = F.size(x["a"]), F.size(x["b"])
+        exact = (x["p"] == x["g"]).cast("double")
+        value = bound(common_tokens(x["a"], x["b"]), lambda both: F.when(both == 0, F.lit(0.0)).otherwise(2.0 * (both / n) * (both / m) / (both / n + both / m)))
+        f1 = F.when(x["p"].isin(*VERDICTS) | x["g"].isin(*VERDICTS), exact).when((n == 0) | (m == 0), (n == m).cast("double")).otherwise(value)
+        return F.struct(exact.alias("em"), f1.alias("f1"))
+
+    both = F.struct(normalize_answer(prediction).alias("p"), normalize_answer(gold).alias("g"))
+    return bound(both, lambda x: bound(F.struct(x["p"].alias("p"), x["g"].alias("g"), tokens(x["p"]).alias("a"), tokens(x["g"]).alias("b")), score))
+
+
 def f1_score(prediction: Column, gold: Column) -> Column:
-    """Token F1 of the normalized texts: 1 if both are empty, 0 if one is; yes, no and noanswer only match themselves."""
-    p, g = normalize_answer(prediction), normalize_answer(gold)
-    a, b = tokens(p), tokens(g)
-    n, m, both = F.size(a), F.size(b), common_tokens(a, b)
-    value = F.when(both == 0, F.lit(0.0)).otherwise(2.0 * (both / n) * (both / m) / (both / n + both / m))
-    return F.when(p.isin(*VERDICTS) | g.isin(*VERDICTS), (p == g).cast("double")).when((n == 0) | (m == 0), (n == m).cast("double")).otherwise(value)
+    return answer_scores(prediction, gold)["f1"]
 
 
 def exact_match(prediction: Column, gold: Column) -> Column:

@@ -49,12 +49,13 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool
         ids = c.chunk_id.to_numpy()
         if exclude_self:
             s[q.query_id.to_numpy()[:, None] == ids[None]] = -np.inf
-        out = []
-        for i, row in enumerate(s):
-            at = np.lexsort((ids, -row))[:k]
-            at = at[row[at] > -np.inf]
-            out.append(pd.DataFrame({"query_id": q.query_id.iloc[i], "chunk_id": ids[at], "score": row[at]}))
-        return pd.concat(out)
+        # every score that is at least the k-th best of its row, so that ties at the edge are told apart by their ids later
+        edge = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])]
+        i, j = np.nonzero((s >= edge[:, None]) & (s > -np.inf))
+        out = pd.DataFrame({"query_id": q.query_id.to_numpy()[i], "chunk_id": ids[j], "score": s[i, j]})
+        order = np.lexsort((out.chunk_id.to_numpy(), -out.score.to_numpy(), i))
+        out, i = out.iloc[order], i[order]
+        return out[np.arange(len(i)) - np.searchsorted(i, i) < k]
 
     kind = dict(corpus.dtypes)["chunk_id"]
     near = block_join(queries.select("query_id", "v"), corpus.select("chunk_id", "v"), "query_id", "chunk_id", run, f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {kind}, score double", block)
