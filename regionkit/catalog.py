@@ -17,8 +17,8 @@ from .operators import audit, calibrate, retrieval, runs, stats, sweep, world
 from .session import cut_lineage, table
 
 ALPHA = 0.35
-GRID = (0.3, 0.35, 0.5, 1.0, 2.0)
-FULL_GRID = (0.3, 0.35, *calibrate.ALPHA_GRID)
+#: The grid of the index build, and two smaller values, between which the ratio of these vectors passes the target.
+GRID = (0.3, 0.35, *calibrate.ALPHA_GRID)
 
 QUERIES = {}
 SQL = {}
@@ -270,16 +270,6 @@ def alpha_choice(spark, d):
     return calibrate.choose_alpha(_ratios(spark, d)).select("alpha")
 
 
-@query()
-def alpha_grid_ratio_full(spark, d):
-    return _ratios(spark, d, FULL_GRID).select("alpha", F.round("median_log_box", 4).alias("median_log_box"), F.round("median_log_pair", 4).alias("median_log_pair"))
-
-
-@query()
-def alpha_choice_full(spark, d):
-    return calibrate.choose_alpha(_ratios(spark, d, FULL_GRID)).select("alpha")
-
-
 # ---- retrieval metrics ---------------------------------------------------------------------------------------------
 
 _GOLD = "gold AS (SELECT query_id, chunk_id, pos FROM (SELECT query_id, vec_id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY vec_id) AS pos FROM q JOIN unit ON q.label = unit.label AND vec_id <> query_id) WHERE pos <= 2)"

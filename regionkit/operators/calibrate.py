@@ -30,15 +30,17 @@ def draw_pairs(ids: DataFrame, n_pairs: int, seed: int = 1337) -> DataFrame:
 
 def alpha_ratios(corpus: DataFrame, knn: DataFrame, pairs: DataFrame, grid: Sequence[float] = ALPHA_GRID, beta: float = B.BETA) -> DataFrame:
     """alpha, median_log_box, median_log_pair, ratio: medians in log space, their ratio e^(difference), 0 if not finite."""
-    rows = corpus.join(knn.where("knn is not null"), "chunk_id")
-    steps = rows.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in grid])))
-    h = F.col("alpha") * F.col("knn")
-    boxed = steps.select("alpha", "chunk_id", B.lower(F.col("v"), h).alias("lo"), B.upper(F.col("v"), h).alias("hi"))
+    values = F.array(*[F.lit(float(a)) for a in grid])
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
-    own = boxed.select("alpha", finite(B.box_log_volume(F.col("lo"), F.col("hi"))).alias("lv")).groupBy("alpha").agg(F.percentile("lv", 0.5).alias("median_log_box"))
-    x = boxed.select("alpha", F.col("chunk_id").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
-    y = boxed.select("alpha", F.col("chunk_id").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
-    both = pairs.join(x, "a").join(y, ["alpha", "b"]).select("alpha", B.pair_log_volume(F.col("lo_a"), F.col("hi_a"), F.col("lo_b"), F.col("hi_b"), beta).alias("lv"))
+    rows = corpus.join(knn.where("knn is not null"), "chunk_id")
+    boxed = lambda df: df.withColumn("alpha", F.explode(values)).withColumn("h", F.col("alpha") * F.col("knn")).withColumn("lo", B.lower(F.col("v"), F.col("h"))).withColumn("hi", B.upper(F.col("v"), F.col("h")))
+    own = boxed(rows).select("alpha", finite(B.box_log_volume(F.col("lo"), F.col("hi"))).alias("lv")).groupBy("alpha").agg(F.percentile("lv", 0.5).alias("median_log_box"))
+    # only the rows of the drawn pairs are boxed for them, after the join
+    drawn = rows.join(pairs.select(F.explode(F.array("a", "b")).alias("chunk_id")).distinct(), "chunk_id", "left_semi")
+    x, y = (drawn.select(F.col("chunk_id").alias(s), F.col("v").alias(f"v_{s}"), F.col("knn").alias(f"knn_{s}")) for s in "ab")
+    both = pairs.join(x, "a").join(y, "b").withColumn("alpha", F.explode(values))
+    h = {s: F.col("alpha") * F.col(f"knn_{s}") for s in "ab"}
+    both = both.select("alpha", B.pair_log_volume(B.lower(F.col("v_a"), h["a"]), B.upper(F.col("v_a"), h["a"]), B.lower(F.col("v_b"), h["b"]), B.upper(F.col("v_b"), h["b"]), beta).alias("lv"))
     both = both.groupBy("alpha").agg(F.percentile("lv", 0.5).alias("median_log_pair"))
     ratio = F.coalesce(F.exp(F.col("median_log_pair") - F.col("median_log_box")), F.lit(0.0))
     return own.join(both, "alpha", "left").withColumn("ratio", ratio)

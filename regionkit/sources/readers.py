@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_title
 from ..operators.runs import latest
+from ..session import exists
 from . import schemas
 
 
@@ -73,25 +74,24 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
 def read_built(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of the index; raises with the step that builds it if it isn't there."""
-    try:
-        return spark.read.parquet(f"{folder}/{name}")
-    except Exception as e:
-        raise FileNotFoundError(f"{folder}/{name} isn't built; run plans.index.build_index first") from e
+    if not exists(spark, f"{folder}/{name}"):
+        raise FileNotFoundError(f"{folder}/{name} isn't built; run plans.index.build_dense and build_boxes first")
+    return spark.read.parquet(f"{folder}/{name}")
 
 
 def read_parameter(spark: SparkSession, path: str) -> dict | None:
     """A one-row JSON file as a dictionary, or None if there is none."""
-    try:
-        rows = spark.read.json(path).limit(1).collect()
-    except Exception:  # noqa: BLE001 - an absent file is a valid state
+    if not exists(spark, path):
         return None
+    rows = spark.read.json(path).limit(1).collect()
     return rows[0].asDict(recursive=True) if rows else None
 
 
-def read_log(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """Result records of a JSON lines log; blank and torn lines are left out."""
+def read_log(spark: SparkSession, path: str, ddl: str, marks: tuple[str, ...] = ()) -> DataFrame:
+    """Result records of a JSON lines log; blank and torn lines are left out. marks: columns of the files, kept as __at0, __at1 and so on."""
     df = spark.read.schema(ddl + ", _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     first = df.columns[0]
+    df = df.select("*", *[F.col(m).alias(f"__at{i}") for i, m in enumerate(marks)])
     return df.where(F.col("_corrupt").isNull() & F.col(first).isNotNull()).drop("_corrupt")
 
 
@@ -100,9 +100,11 @@ def done_keys(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 
 
 def read_latest(spark: SparkSession, path: str, ddl: str, key: str = "id") -> DataFrame:
-    """The last line of each key."""
-    lines = read_log(spark, path, ddl).withColumn("__line", F.monotonically_increasing_id())
-    return latest(lines, key, ["__line"]).drop("__line")
+    """The last line of each key: of the file written last, and of those of one time the one with the greatest name; in a file the line
+    that stands last, as parts of a file are read in order of their places."""
+    lines = read_log(spark, path, ddl, ("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start"))
+    marks = [c for c in lines.columns if c.startswith("__at")]
+    return latest(lines.withColumn("__line", F.monotonically_increasing_id()), key, [*marks, "__line"]).drop("__line", *marks)
 
 
 def read_seeded(spark: SparkSession, pattern: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.runs import todo
+from ..session import exists
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -18,10 +19,8 @@ def append_log(df: DataFrame, path: str) -> None:
 def append_shard(df: DataFrame, path: str, key: str = "chunk_id") -> int:
     """Append the rows whose key isn't there yet; the number appended."""
     spark = df.sparkSession
-    try:
+    if exists(spark, path):
         df = todo(df, spark.read.parquet(path), [key])
-    except Exception:  # noqa: BLE001 - the first shard
-        pass
     df = df.persist()
     n = df.count()
     if n:

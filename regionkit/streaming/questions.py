@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.runs import todo
+from ..session import exists
 from ..sources import schemas
 from ..sources.readers import done_keys
 
@@ -19,10 +20,8 @@ def answer_stream(spark: SparkSession, folder: str, log: str, checkpoint: str, a
     """
 
     def step(batch: DataFrame, _: int) -> None:
-        try:
+        if exists(spark, log):
             batch = todo(batch, done_keys(spark, log, ["id"]), ["id"])
-        except Exception:  # noqa: BLE001 - no log yet
-            pass
         answer(batch.dropDuplicates(["id"])).write.mode("append").json(log)
 
     stream = spark.readStream.schema(schema).json(folder)
