@@ -123,9 +123,19 @@ def test_full_grid_reaches_beyond_two(spark, tmp_path):
     x = np.repeat(rng.standard_normal((6, 64)), 15, axis=0) + 0.1 * rng.standard_normal((90, 64))
     df = spark.createDataFrame([(i, i // 15, [float(e) for e in v]) for i, v in enumerate(x)], "vec_id bigint, label int, embedding array<float>")
     df.write.parquet(f"{tmp_path}/embeddings.parquet")
-    q = {k: catalog.QUERIES[k](spark, str(tmp_path)).collect() for k in ("alpha_choice", "alpha_choice_full", "alpha_grid_ratio_full")}
-    assert {r.alpha for r in q["alpha_grid_ratio_full"]} == {0.3, 0.35, *calibrate.ALPHA_GRID}
-    ratio = {r.alpha: r.median_log_pair - r.median_log_box for r in q["alpha_grid_ratio_full"]}
+    q = {k: catalog.QUERIES[k](spark, str(tmp_path)).collect() for k in ("alpha_choice", "alpha_grid_ratio")}
+    assert {r.alpha for r in q["alpha_grid_ratio"]} == {0.3, 0.35, *calibrate.ALPHA_GRID}
+    ratio = {r.alpha: r.median_log_pair - r.median_log_box for r in q["alpha_grid_ratio"]}
     best = min(ratio, key=lambda a: (abs(max(ratio[a], math.log(1e-30)) - math.log(0.05)), a))
-    assert q["alpha_choice"][0].alpha == 2.0
-    assert q["alpha_choice_full"][0].alpha == best > 2.0
+    assert q["alpha_choice"][0].alpha == best > 2.0
+
+
+def test_dense_topk_keeps_ties_at_the_edge_by_id(spark):
+    rows = [(i, [1.0, 0.0] if i % 3 else [0.0, 1.0]) for i in range(30)]
+    corpus = spark.createDataFrame(rows, "chunk_id bigint, v array<double>")
+    queries = spark.createDataFrame([(100, [2.0, 0.0]), (7, [1.0, 0.0])], "query_id bigint, v array<double>")
+    got = {}
+    for r in retrieval.dense_topk(queries, corpus, 4, exclude_self=True, block=8).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.chunk_id
+    assert got == {100: {1: 1, 2: 2, 3: 4, 4: 5}, 7: {1: 1, 2: 2, 3: 4, 4: 5}}
+    assert retrieval.dense_topk(queries, corpus.limit(2), 50).where("query_id = 100").count() == 2
