@@ -6,11 +6,17 @@ up to one bit (pigeonhole), so each substring is looked up as it is and with eac
 differs in a bit, only the side with the 0 flips it. That finds every code within the radius, and only those are kept.
 The number of tables is such that pairs at the least similarity wanted lie within the radius of one of them. Pairs that
 met are ranked by their floats.
+
+A row isn't sent to each bucket that it looks up, but, packed with others, to the few groups of buckets in which these
+lie; the rest of the bits is flipped there. Tables are taken a few at a time, so that what lies on disk at once doesn't
+grow with their number.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -19,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_and_free, parallelism
 from .topn import top_n_per_group
 
 SAMPLE = 8192
 COSINE, EUCLID = "cosine", "euclid"
 #: Bits of the word that travels with a lookup beside its code, to tell most chance meetings from others.
 WORD = 62
+#: Rows of a group of buckets, which a task holds at once (unless they crowd); bytes of a task's share of a round, and of a round at least.
+GROUP, SHARE, ROUND = 1 << 17, 16 << 20, 256 << 20
 #: What a meeting and a pair of floats to be compared cost, if a lookup, which is shuffled, costs 1.
 MEETING, COMPARISON = 0.02, 3.0
 
@@ -157,14 +165,16 @@ class Codes:
                     hoped.append((tables * per, m, bits, tables))
         return min(sure), min(hoped, default=(math.inf,))
 
-    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Substrings (n x tables * m), codes (n x tables) and check words of vectors."""
+    def __call__(self, x: np.ndarray, tables: range | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Substrings (n x tables * m), codes (n x tables) and check words of vectors, in these tables (default: all)."""
+        tables = range(self.tables) if tables is None else tables
         if self.metric == COSINE:
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
         x = x - self.mean
-        on = x @ self.turn[:, :-WORD] > self.cut[:-WORD]
-        subs = on.reshape(len(x), self.tables * self.m, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
-        return subs, on.reshape(len(x), self.tables, self.length) @ (1 << np.arange(self.length, dtype=np.int64)), self.check(x)
+        of = slice(tables.start * self.length, tables.stop * self.length)
+        on = x @ self.turn[:, of] > self.cut[of]
+        subs = on.reshape(len(x), len(tables) * self.m, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
+        return subs, on.reshape(len(x), len(tables), self.length) @ (1 << np.arange(self.length, dtype=np.int64)), self.check(x)
 
     def meet(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether the rows of x and y are candidates of each other."""
@@ -230,16 +240,54 @@ def _block(metric: str, k: int, least: float):
     return run
 
 
-def _entries(codes: Codes, cls: np.ndarray, v: np.ndarray):
-    """Bucket number times two, class number, code and check word of each row in its buckets, table by table; and once more,
-    with the bucket number times two plus one, in those that one more bit set in the substring leads to."""
-    subs, words, check = codes(v)
+def _placed(own: np.ndarray, bits: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): each row in its bucket own, with the key of the bucket number times two; and once more, with the bucket
+    number times two plus one, in those that one more of these bits leads to."""
+    clear = [(b, np.flatnonzero(own & (1 << b) == 0)) for b in bits]
+    return np.concatenate([np.arange(len(own)), *(c for _, c in clear)]), np.concatenate([own << 1, *((own[c] | 1 << b) << 1 | 1 for b, c in clear)])
+
+
+def _entries(codes: Codes, cls: np.ndarray, v: np.ndarray, tables: range | None = None, low: int = 0):
+    """Key, class number, code and check word of each row in its buckets and in those that one more bit of the substring
+    from the bit `low` on leads to, substring by substring of these tables (default: all)."""
+    subs, words, check = codes(v, tables)
+    first = tables.start * codes.m if tables else 0
     for i in range(subs.shape[1]):
-        own, word = subs[:, i], words[:, i // codes.m]
-        clear = [np.flatnonzero(own & (1 << b) == 0) for b in range(codes.bits)]
-        at = np.concatenate([np.arange(len(own)), *clear])
-        key = np.concatenate([own << 1, *[(own[c] | 1 << b) << 1 | 1 for b, c in enumerate(clear)]]) | i << 33
-        yield key, cls[at], word[at], check[at]
+        at, key = _placed(subs[:, i], range(low, codes.bits))
+        yield key | first + i << 33, cls[at], words[at, i // codes.m], check[at]
+
+
+def _packed(codes: Codes, low: int, key: np.ndarray, cls: np.ndarray, word: np.ndarray, check: np.ndarray):
+    """(group, bytes): the entries by groups of buckets that differ in the low bits only, without their keys, which the codes tell."""
+    group = key >> (low + 1)
+    order = np.argsort(group, kind="stable")
+    ends = np.flatnonzero(np.diff(group[order], append=-1)) + 1
+    size = -(-codes.length // 8)
+    for start, end in zip([0, *ends[:-1]], ends):
+        at = order[start:end]
+        yield int(group[at[0]]), cls[at].tobytes() + check[at].tobytes() + word[at].view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def _unpacked(codes: Codes, low: int, group: int, blobs: list[bytes]) -> list[np.ndarray]:
+    """Entries of a group as of _entries, with those that the low bits lead to, in the order of key."""
+    size = -(-codes.length // 8)
+    parts: list[list[np.ndarray]] = [[], [], []]
+    for blob in blobs:
+        n = len(blob) // (16 + size)
+        word = np.zeros((n, 8), np.uint8)
+        word[:, :size] = np.frombuffer(blob, np.uint8, offset=16 * n).reshape(n, size)
+        for part, x in zip(parts, (np.frombuffer(blob, np.int64, n), word.view(np.int64)[:, 0], np.frombuffer(blob, np.int64, n, 8 * n))):
+            part.append(x)
+    cls, word, check = (np.concatenate(x) for x in parts)
+    sub, prefix = group >> (32 - low), group << low & (1 << codes.bits) - 1
+    own = word >> (sub % codes.m * codes.bits) & ((1 << codes.bits) - 1)
+    here = np.flatnonzero(own >> low == prefix >> low)
+    there = np.flatnonzero(own >> low != prefix >> low)
+    at, key = _placed(own[here], range(low))
+    at, key = np.concatenate([here[at], there]), np.concatenate([key, (own[there] & ((1 << low) - 1) | prefix) << 1 | 1])
+    order = np.argsort(key)
+    at = at[order]
+    return [key[order] | sub << 33, cls[at], word[at], check[at]]
 
 
 def _pairs_met(codes: Codes, key: np.ndarray, cls: np.ndarray, word: np.ndarray, check: np.ndarray, most: int = 1_000_000):
@@ -269,103 +317,144 @@ def _pairs_met(codes: Codes, key: np.ndarray, cls: np.ndarray, word: np.ndarray,
         start = stop
 
 
+def _grouped(batches):
+    """(number, list of its bytes) of sorted rows of a number and bytes, over the borders of batches."""
+    last, blobs = None, []
+    for batch in batches:
+        for g, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if g != last and blobs:
+                yield last, blobs
+                blobs = []
+            last = g
+            blobs.append(x)
+    if blobs:
+        yield last, blobs
+
+
 def candidate_pairs(classes: DataFrame, codes: Codes, metric: str, k: int, least: float, crowded: int = 4_000_000, block: int = 1024) -> DataFrame:
     """Distinct (a, b), a < b, of class numbers whose codes lie within the radius in a table, and whose check words pass.
 
-    Entries are shuffled once, by bucket, and sorted in the partitions; what meets is compared as the sorted entries pass
-    by, of which no more than a bucket is held. A bucket with more than `crowded` pairs isn't compared there: its rows
-    are split into blocks of about `block`, every block meets every other, and each row keeps its k nearest of each
-    block, which loses none of the k nearest.
+    A substring's buckets are grouped by their upper bits. A row is sent, packed with others, to its own group and to those
+    that one of the upper bits leads to; there it looks up by the lower bits. Groups are compared one by one; pairs that met
+    are written, packed by a hash, and freed of repetitions at the end. Tables are taken a few at a time: what a round
+    shuffles weighs about twice what the vectors do, and is deleted before the next one begins.
+    A bucket with more than `crowded` pairs isn't compared there: its rows are split into blocks of about `block`, every
+    block meets every other, and each row keeps its k nearest of each block, which loses none of the k nearest.
     """
-
-    def coded(emit, names):
+    n, width = classes.agg(F.count("*"), F.max(F.size("v"))).first()
+    upper = min(codes.bits, max(4, math.ceil(math.log2(max(1, n / GROUP)))))
+    low = codes.bits - upper
+    of_table = n * codes.m * (1 + upper / 2) * (16 + -(-codes.length // 8))
+    together = max(1, int(max(ROUND, 8 * n * width) / of_table))
+    parts = max(16, n // 50_000)
+
+    def coded(tables: range):
         def run(batches):
-            for batch in batches:
-                n = batch.num_rows
-                if n:
-                    v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(float)
-                    for arrays in emit(batch.column(0).to_numpy(), v):
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=names)
+            held, rows = [], 0
 
-        return classes.select("cls", "v").mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
+            def close():
+                cls, v = (np.concatenate(x) for x in zip(*held))
+                for entries in _entries(codes, cls, v, tables, low):
+                    packed = [*_packed(codes, low, *entries)]
+                    yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in packed], pa.int64()), pa.array([x for _, x in packed], pa.binary())], names=["g", "packed"])
 
-    def own_keys(_, v):
-        subs = codes(v)[0]
-        for i in range(subs.shape[1]):
-            yield (subs[:, i] | i << 32,)
-
-    def meet(batches):
-        held: list[list[np.ndarray]] = []  # of the last bucket seen
+            for batch in batches:
+                if m := batch.num_rows:
+                    held.append((batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(m, -1).astype(float)))
+                    rows += m
+                if rows >= 20_000:
+                    yield from close()
+                    held, rows = [], 0
+            if rows:
+                yield from close()
 
-        def close():
-            if held:
-                for a, b in _pairs_met(codes, *(np.concatenate(x) for x in zip(*held))):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        return classes.select("cls", "v").mapInArrow(run, "g bigint, packed binary")
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [c.to_numpy() for c in batch.columns]
-            bucket = cols[0] >> 1
-            first = int(np.searchsorted(bucket, held[0][0][0] >> 1, side="right")) if held else 0
-            last = int(np.searchsorted(bucket, bucket[-1]))
-            if held and first:
-                held.append([c[:first] for c in cols])
-            if first < len(bucket):
-                yield from close()
-                if last > first:
-                    for a, b in _pairs_met(codes, *(c[first:last] for c in cols)):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-                held = [[c[max(first, last) :] for c in cols]]
-        yield from close()
-
-    # a bucket is crowded by its own rows times those of the buckets one bit below it; small buckets alone can't be
-    own = coded(own_keys, ["bucket"]).groupBy("bucket").agg(F.count("*").alias("n"))
-    largest = own.agg(F.max("n")).first()[0]
-    any_hot = largest * largest * (codes.bits + 1) > crowded
-    if any_hot:
-        ones = F.array(*[F.lit(1 << i).cast("bigint") for i in range(codes.bits)])
-        reached = F.transform(F.concat(F.array(F.lit(0).cast("bigint")), F.filter(ones, lambda o: F.col("bucket").bitwiseAND(o) == 0)), lambda o: F.col("bucket").bitwiseOR(o))
-        near = own.select("n", F.explode(reached).alias("bucket")).groupBy("bucket").agg(F.sum("n").alias("p"))
-        hot = cut_lineage(own.join(near, "bucket").where(F.col("n") * F.col("p") > crowded))
-        any_hot = hot.limit(1).count() > 0
-
-    names = ["key", "cls", "word", "check"]
-    entries = coded(lambda cls, v: _entries(codes, cls, v), names)
-    bucket = F.shiftright("key", 1)
-    if any_hot:
-        entries = entries.withColumn("bucket", bucket)
-        hot_entries = entries.join(hot, "bucket").select("bucket", "key", "cls", F.ceil(F.col("n") / block).cast("int").alias("bn"), F.ceil(F.col("p") / block).cast("int").alias("bp"))
-        entries = entries.join(hot.select("bucket"), "bucket", "left_anti").select(*names)
-    out = entries.repartition(bucket).sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint")
-    if any_hot:
-        upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-        one = hot_entries.where(F.col("key").bitwiseAND(F.lit(1)) == 0).select("bucket", "cls", F.lit(0).alias("side"), F.pmod(F.xxhash64("cls"), F.col("bn")).alias("i"), upto("bp").alias("j"))
-        two = hot_entries.select("bucket", "cls", F.lit(1).alias("side"), upto("bn").alias("i"), F.pmod(F.xxhash64("cls"), F.col("bp")).alias("j"))
-        both = one.unionByName(two).join(classes.select("cls", "v"), "cls")
-        out = out.unionByName(both.groupBy("bucket", "i", "j").applyInPandas(_block(metric, k, least), "a bigint, b bigint"))
-    return out.distinct()
+    def meet(batches):
+        def close(group: int, blobs: list[bytes]):
+            entries = _unpacked(codes, low, group, blobs)
+            bucket = entries[0] >> 1
+            starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            reach = np.diff(starts, append=len(bucket))
+            own = np.add.reduceat(1 - (entries[0] & 1), starts)
+            if (crowd := own * reach > crowded).any():
+                of = np.repeat(np.arange(len(starts)), reach)
+                at = np.flatnonzero(crowd[of])
+                of, key = of[at], entries[0][at]
+                yield out(bucket=pa.array(key >> 1), cls=pa.array(entries[1][at]), far=pa.array(key & 1), bn=pa.array(-(-own[of] // block)), bp=pa.array(-(-reach[of] // block)))
+                entries = [x[np.repeat(~crowd, reach)] for x in entries]
+            for a, b in _pairs_met(codes, *entries, most=1 << 17):
+                if len(a):
+                    held.append((a, b))
+                    if sum(len(x) for x, _ in held) > 1 << 20:
+                        yield flush()
+
+        def out(**cols):
+            size = len(next(iter(cols.values())))
+            return pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.nulls(size, kind) for c, kind in kinds.items()], names=[*kinds])
+
+        def flush():
+            a, b = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            part = (a ^ b) % parts
+            order = np.argsort(part, kind="stable")
+            ends = np.flatnonzero(np.diff(part[order], append=-1)) + 1
+            ats = [order[start:end] for start, end in zip([0, *ends[:-1]], ends)]
+            return out(part=pa.array([part[at[0]] for at in ats], pa.int64()), pairs=pa.array([np.stack([a[at], b[at]], 1).tobytes() for at in ats], pa.binary()))
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for group, blobs in _grouped(batches):
+            yield from close(group, blobs)
+        if held:
+            yield flush()
+
+    def distinct(batches):
+        for _, blobs in _grouped(batches):
+            x = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
+            x = x[np.lexsort((x[:, 1], x[:, 0]))]
+            x = x[np.append(True, (x[1:] != x[:-1]).any(axis=1))]
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+
+    kinds = {"part": pa.int64(), "pairs": pa.binary(), "bucket": pa.int64(), "cls": pa.int64(), "far": pa.int64(), "bn": pa.int64(), "bp": pa.int64()}
+    schema = "part bigint, pairs binary, bucket bigint, cls bigint, far bigint, bn bigint, bp bigint"
+    rounds = []
+    for start in range(0, codes.tables, together):
+        tables = range(start, min(codes.tables, start + together))
+        tasks = max(parallelism(classes.sparkSession), int(of_table * len(tables) / SHARE))
+        rounds.append(cut_and_free(coded(tables).repartition(tasks, "g").sortWithinPartitions("g").mapInArrow(meet, schema)))
+    met = reduce(DataFrame.unionByName, rounds)
+    tasks = max(parallelism(classes.sparkSession), (met.where("part is not null").agg(F.sum(F.length("pairs"))).first()[0] or 0) // SHARE)
+    pairs = met.where("part is not null").select("part", "pairs").repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(distinct, "a bigint, b bigint")
+    hot = met.where("bucket is not null").select("bucket", "cls", "far", "bn", "bp")
+    if not hot.limit(1).count():
+        return pairs
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    one = hot.where("far = 0").select("bucket", "cls", F.lit(0).alias("side"), F.pmod(F.xxhash64("cls"), F.col("bn")).alias("i"), upto("bp").alias("j"))
+    two = hot.select("bucket", "cls", F.lit(1).alias("side"), upto("bn").alias("i"), F.pmod(F.xxhash64("cls"), F.col("bp")).alias("j"))
+    both = one.unionByName(two).join(classes.select("cls", "v"), "cls")
+    return pairs.unionByName(both.groupBy("bucket", "i", "j").applyInPandas(_block(metric, k, least), "a bigint, b bigint")).distinct()
 
 
 def classes_of(src: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """(members, classes, number of classes): members has cls and id once for each id, classes cls and v.
 
     Vectors are grouped by themselves; their class number is a hash, drawn anew if two vectors should share one. Vectors
-    move once; ids are matched by class number. Of different vectors under one id the smallest counts.
+    move twice, the second time to the place of their number, where they are joined later; ids are matched by class number. Of different vectors under one id the smallest counts.
     """
     vectors = src.select("v").distinct()
+    tasks = parallelism(src.sparkSession, src, SHARE)
     for seed in count(5):
         cls = F.xxhash64(F.lit(seed), F.col("v")).alias("cls")
-        classes = cut_lineage(vectors.select(cls, "v"))
+        classes = cut_and_free(vectors.select(cls, "v").repartition(tasks, "cls"), placed=True)
         n, kinds = classes.agg(F.count("*"), F.countDistinct("cls")).first()
         if n == kinds:
             break
-    members = cut_lineage(src.select(cls, "id").distinct())
+    members = cut_and_free(src.select(cls, "id").distinct())
     several = members.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     if several.limit(1).count():
         smallest = members.join(several, "id").join(classes, "cls").groupBy("id").agg(F.min_by("cls", "v").alias("cls"))
-        members = cut_lineage(members.join(several, "id", "left_anti").unionByName(smallest))
-        classes = cut_lineage(classes.join(members.select("cls").distinct(), "cls", "left_semi"))
+        members = cut_and_free(members.join(several, "id", "left_anti").unionByName(smallest))
+        classes = cut_and_free(classes.join(members.select("cls").distinct(), "cls", "left_semi").repartition(tasks, "cls"), placed=True)
         n = classes.count()
     return members, classes, n
 
@@ -397,7 +486,7 @@ def most_similar(df: DataFrame, id_col: str, vec_col: str, dim: int, metric: str
         sample = classes.where(part).orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).select("v").toPandas().v
         codes = Codes(np.stack(sample.to_numpy()).astype(float), n, metric, (design if design is not None else least) * (1 if metric == COSINE else -1))
         met = candidate_pairs(classes, codes, metric, k, least)
-        scored = cut_lineage(scored_pairs(met, classes, metric, least))
+        scored = cut_and_free(scored_pairs(met, classes, metric, least))
         way = scored.select(F.col("a").alias("cls"), F.col("b").alias("to"), "sim").unionByName(scored.select(F.col("b").alias("cls"), F.col("a").alias("to"), "sim"))
         way = way.join(size.where(F.col("n") > k).select("cls"), "cls", "left_anti")  # larger classes are their own nearest
         top = Window.partitionBy("cls").orderBy(F.col("sim").desc(), "other")

@@ -37,6 +37,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_and_free(df: DataFrame, placed: bool = False) -> DataFrame:
+    """cut_lineage(df) whose shuffle files are deleted as soon as it is written, not when the driver happens to collect its garbage.
+
+    placed: later plans know how its rows are partitioned, and don't shuffle them for that again; adaptive plans forget it.
+    """
+    conf = df.sparkSession.conf
+    set_to = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | ({"spark.sql.adaptive.enabled": "false"} if placed else {})
+    before = {key: conf.get(key) for key in set_to}
+    try:
+        for key, value in set_to.items():
+            conf.set(key, value)
+        return cut_lineage(df.select("*"))  # a plan keeps the settings it was made under
+    finally:
+        for key, value in before.items():
+            conf.set(key, value)
+
+
 _shipped: set[str] = set()
 
 

@@ -1,4 +1,6 @@
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -167,3 +169,37 @@ def test_few_vectors(spark):
     assert e([("a", [1.0, 2.0])]) == []
     assert e([("a", [1.0, 2.0]), ("b", [1.0, 2.0])]) == [("a", "b"), ("b", "a")]
     assert e([("a", [1.0, 2.0]), ("b", [1.0, 2.05]), ("c", [9.0, 9.0])]) == [("a", "b"), ("b", "a")]
+
+
+def test_rounds_of_packed_groups_meet_every_pair_within_the_radius_and_no_other(spark, monkeypatch):
+    x, y = pairs_at(np.random.default_rng(21), 600, 16, 0.93)
+    x = np.concatenate([x, y]).astype("float32").astype(float)
+    codes = ann.Codes(x, 200_000, ann.COSINE, 0.9)
+    assert codes.tables > 1
+    monkeypatch.setattr(ann, "GROUP", 16)
+    monkeypatch.setattr(ann, "ROUND", 1)
+    classes = spark.createDataFrame([(i - 600, [float(a) for a in v]) for i, v in enumerate(x)], "cls bigint, v array<float>")
+    got = [tuple(r) for r in ann.candidate_pairs(classes, codes, ann.COSINE, 5, 0.9).collect()]
+    i, j = np.triu_indices(1200, 1)
+    meet = codes.meet(x[i], x[j])
+    assert len(got) == len({*got}) and {*got} == {(int(a) - 600, int(b) - 600) for a, b in zip(i[meet], j[meet])}
+
+
+def test_shuffle_files_of_a_search_do_not_pile_up(spark):
+    """What is left on disk when a search has run, against the bytes of its vectors."""
+
+    def left():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        paths = [files.apply(i).getPath() for i in range(files.size())]
+        return sum(Path(p).stat().st_size for p in paths if "shuffle_" in p and Path(p).exists())
+
+    x = np.random.default_rng(22).standard_normal((6000, 64)).astype("float32").astype(float)
+    df = spark.createDataFrame([(f"{i:04d}", [float(a) for a in v]) for i, v in enumerate(x)], "id string, v array<float>")
+    before = left()
+    found = ann.most_similar(df, "id", "v", 64, ann.COSINE, 0.9)
+    found.count()
+    for _ in range(40):  # files are deleted in the background
+        if left() - before <= 4 * 6000 * 64 * 4:
+            break
+        time.sleep(0.25)
+    assert left() - before <= 4 * 6000 * 64 * 4
