@@ -47,23 +47,37 @@ def script(c: str) -> str:
     return unicodedata.name(unicodedata.normalize("NFD", c)[0], "?").split(" ", 1)[0]
 
 
+def count_grams(names: Iterable[str]) -> Counter[str]:
+    """Character n-grams of the words of names, as written and in capitals."""
+    grams: Counter[str] = Counter()
+    for name in names:
+        for token in (*name.split(" "), *name.upper().split(" ")):
+            s = "\x02" * (ORDER - 1) + token + "\x03"
+            for n in range(1, ORDER + 1):
+                for i in range(max(0, ORDER - n), len(s) - n + 1):
+                    grams[s[i : i + n]] += 1
+            for n in range(1, ORDER):
+                grams["\x02" * n] += 1
+    return grams
+
+
 class Model:
     """Alphabet of the reference names, and character n-grams of their words as written and in capitals."""
 
-    def __init__(self, names: Iterable[str], alphabet: Iterable[str] | None = None, longest: Iterable[int] = ()):
+    def __init__(self, names: Iterable[str]):
         names = [*names]
-        self.longest = max(longest, default=max(map(len, names), default=0))
-        self.alphabet: set[str] = {c for n in names for c in n} if alphabet is None else {*alphabet}
-        self.grams: Counter[str] = Counter()
-        for name in names:
-            for token in (*name.split(" "), *name.upper().split(" ")):
-                s = "\x02" * (ORDER - 1) + token + "\x03"
-                for n in range(1, ORDER + 1):
-                    for i in range(max(0, ORDER - n), len(s) - n + 1):
-                        self.grams[s[i : i + n]] += 1
-                for n in range(1, ORDER):
-                    self.grams["\x02" * n] += 1
-        self.grams.update(self.alphabet)  # so that a letter of a name beyond the sample isn't absent
+        self._fit(count_grams(names), {c for n in names for c in n}, max(map(len, names), default=0))
+
+    @classmethod
+    def fitted(cls, grams: list[str], counts: list[int], alphabet: list[str], longest: list[int]) -> Model:
+        """The same from what was counted before, as of fitted_on."""
+        model = cls.__new__(cls)
+        model._fit(Counter(dict(zip(grams, counts))), {*alphabet}, max(longest, default=0))
+        return model
+
+    def _fit(self, grams: Counter[str], alphabet: set[str], longest: int) -> None:
+        self.longest, self.alphabet, self.grams = longest, alphabet, grams
+        self.grams.update(self.alphabet)  # so that a letter that is no word's, as a blank, isn't absent
         #: By foreign script, the ASCII letters that look like one of its letters in the names; other ASCII words need no search.
         self.foreign: dict[str, set[str]] = {}
         for c in self.alphabet:
@@ -141,17 +155,34 @@ class Model:
         return " ".join(self.settle(t) for t in self.clean(text).split(" "))
 
 
-#: Names that the n-gram model is fitted on at most; of more, those with the smallest hashes.
+#: Names whose n-grams a task counts at a time.
 SAMPLE = 200_000
 
 
-def fitted_on(names: DataFrame, col: str, most: int = SAMPLE) -> tuple[list[str], list[str], list[int]]:
-    """(names that the n-grams are counted on, alphabet of all names, length of the longest of all), in order."""
+def fitted_on(names: DataFrame, col: str, most: int = SAMPLE) -> tuple[list[str], list[int], list[str], list[int]]:
+    """(n-grams, their counts, alphabet, length of the longest) of all names; tasks count `most` names at a time, and the counts are summed."""
     rows = names.select(F.col(col).alias("n")).where("n is not null").distinct()
-    some = rows.orderBy(F.xxhash64("n"), "n").limit(most).collect()
+
+    def count(batches):
+        held: list[str] = []
+
+        def close():
+            grams = count_grams(held)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.keys(), pa.string()), pa.array(grams.values(), pa.int64())], names=["gram", "k"])
+
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                held.append(name)
+                if len(held) >= most:
+                    yield from close()
+                    held.clear()
+        if held:
+            yield from close()
+
+    sums = rows.mapInArrow(count, "gram string, k bigint").groupBy("gram").agg(F.sum("k").alias("k")).toArrow().sort_by("gram")
     letters = rows.select(F.explode(F.array_distinct(F.split("n", ""))).alias("c")).distinct().collect()  # at most Unicode's characters
     longest = rows.agg(F.max(F.length("n"))).first()[0]
-    return sorted(r.n for r in some), sorted(r.c for r in letters if r.c), [longest or 0]
+    return sums["gram"].to_pylist(), sums["k"].to_pylist(), sorted(r.c for r in letters if r.c), [longest or 0]
 
 
 _kept: dict[tuple, object] = {}
@@ -170,14 +201,13 @@ def kept(make, *what: list):
 def one_form(df: DataFrame, text_col: str, names: DataFrame, name_col: str, form_col: str = "form", most: int = SAMPLE) -> DataFrame:
     """df with form_col, the one form of text_col; null stays null, an empty or invisible text gives "".
 
-    The n-grams are counted on at most 200,000 names, the alphabet comes from all; every row of df is treated,
-    without a shuffle. Texts in the names' own characters come out as they are, apart from white space, which
+    N-grams and alphabet come from all names; every row of df is treated, without a shuffle. Texts in the names' own characters come out as they are, apart from white space, which
     becomes single blanks between words. A form_col already in df is replaced.
     """
     fit = fitted_on(names, name_col, most)
 
     def run(batches):
-        model = kept(Model, *fit)
+        model = kept(Model.fitted, *fit)
         memo: dict[str, str] = {}
         for batch in batches:
             out = []

@@ -32,9 +32,9 @@ FRAMING = frozenset("a an the hey hi hello please thanks thank you question answ
 class Reader:
     """Canonical form of a text, and what it is about."""
 
-    def __init__(self, fit: list[str], alphabet: list[str], longest: list[int], names: list[str], common: list[str]):
-        """fit, alphabet and longest as of lookalike.fitted_on; names as keys (canonical_name), which are looked for in the texts; common wording."""
-        self.model = Model(fit, alphabet, longest)
+    def __init__(self, grams: list[str], counts: list[int], alphabet: list[str], longest: list[int], names: list[str], common: list[str]):
+        """grams, counts, alphabet and longest as of lookalike.fitted_on; names as keys (canonical_name), which are looked for in the texts; common wording."""
+        self.model = Model.fitted(grams, counts, alphabet, longest)
         self.common = frozenset(common)
         self.near: dict[str, list[str]] = {}
         for w in common:
@@ -173,7 +173,7 @@ def canonical_name(names: DataFrame, col: str) -> DataFrame:
     return names.select(F.col(col).alias("n")).where("n is not null").mapInArrow(run, "key string").where("key <> ''").distinct()
 
 
-def named_spans(texts: DataFrame, keys: DataFrame, fit: tuple[list[str], list[str], list[int]]) -> DataFrame:
+def named_spans(texts: DataFrame, keys: DataFrame, fit: tuple[list[str], list[int], list[str], list[int]]) -> DataFrame:
     """text, spans: places and lengths of the names in each distinct text, by a join of word sequences with the names' keys."""
     longest = keys.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 1
 
@@ -238,7 +238,7 @@ def cross_split_overlaps(df: DataFrame, rec_col: str, split_col: str, id_col: st
     Null ids meet nothing; texts that are null or have no letter or digit meet nothing, not even by id; rows with a
     null split or record number are left out. Equal forms are one class: classes are compared, not rows, and only
     at the end is each pair of classes expanded to its records, as the result asks for; overlap_counts doesn't. Up to
-    most_names names go to every task; more are found by a join. The n-grams of lookalike are counted on at most sample names.
+    most_names names go to every task; more are found by a join. The n-grams of lookalike are counted on all names, sample names at a time.
     """
     rows = _read(df, rec_col, split_col, id_col, text_col, names, name_col, train, most_names, sample)
     ta = rows.where("is_train").select(F.col("class").alias("ca"), F.col("rec").alias("ra"))

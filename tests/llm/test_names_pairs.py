@@ -35,6 +35,14 @@ def test_no_lookalike_is_lost_if_the_model_sees_few_names(spark, names):
     assert {r.rec_id for r in lookalike.find_lookalikes(values(spark, same), names, "title", most=10).collect()} == whole == {"0", "1", "3"}
 
 
+def test_the_model_counts_every_name(spark, names):
+    every = sorted({n for _, n in NAMES})
+    whole = lookalike.Model(every)
+    for most in (1, 5, 200_000):
+        model = lookalike.Model.fitted(*lookalike.fitted_on(names, "title", most))
+        assert (model.grams, model.alphabet, model.longest, model.total) == (whole.grams, whole.alphabet, whole.longest, whole.total)
+
+
 def test_ascii_words_that_read_as_foreign_names(spark):
     names = spark.createDataFrame([(1, "ВАННА"), (2, "Cape"), (3, "Mix")], "title_id int, title string")
     found = lookalike.find_lookalikes(values(spark, ["BAHHA", "Cape", "Сape", "Mix"]), names, "title").collect()
@@ -147,6 +155,12 @@ def test_overlaps(spark, names):
     assert overlap.cross_split_overlaps(df.where("false"), *args[1:]).count() == overlap.overlap_counts(df.where("false"), *args[1:]).count() == 0
 
 
+def test_overlaps_follow_from_all_names_however_few_are_counted_at_a_time(spark, names):
+    every = sorted({n for _, n in NAMES})
+    reader = lambda most: overlap.Reader(*lookalike.fitted_on(names, "title", most), [], [])
+    assert reader(1).model.grams == reader(5).model.grams == lookalike.Model(every).grams
+
+
 def test_counts_of_records_met_by_form_and_by_id(spark, names):
     q = "Did Tavo ratify the pact at Lake Gikoum and Kuva (film)?"
     rows = [(1, "train", "a", q), (2, "train", "b", q), (3, "train", "a", "Who left Новкорпол for Lake Gikoum in 1911?"), (4, "train", None, q), (5, "dev", "a", q), (6, "dev", "c", q.upper()), (7, "test", "b", "Something else?"), (8, "test", None, q)]
