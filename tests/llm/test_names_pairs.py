@@ -161,6 +161,15 @@ def test_overlaps_follow_from_all_names_however_few_are_counted_at_a_time(spark,
     assert reader(1).model.grams == reader(5).model.grams == lookalike.Model(every).grams
 
 
+def test_readers_of_joined_names_know_all_names(spark, names):
+    fit = lookalike.fitted_on(names, "title", 2)
+    texts = spark.createDataFrame([("Who left Lаke Gikoum for Нoвкорпoл?",)], "text string")
+    keys = overlap.canonical_name(names, "title")
+    (got,) = overlap.named_spans(texts, keys, fit).collect()
+    assert [(x.i, x.n) for x in got.spans] == [(2, 2), (5, 1)]
+    assert overlap.Reader(*fit, [], []).model.total == lookalike.Model({n for _, n in NAMES}).total
+
+
 def test_counts_of_records_met_by_form_and_by_id(spark, names):
     q = "Did Tavo ratify the pact at Lake Gikoum and Kuva (film)?"
     rows = [(1, "train", "a", q), (2, "train", "b", q), (3, "train", "a", "Who left Новкорпол for Lake Gikoum in 1911?"), (4, "train", None, q), (5, "dev", "a", q), (6, "dev", "c", q.upper()), (7, "test", "b", "Something else?"), (8, "test", None, q)]
